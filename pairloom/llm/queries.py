@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, sharding, urls
+from . import chat, decontam, media, packing, quality, sharding, urls
 from .common import table
 
+TOKENIZER = "word_bpe_49k.json"
 SHARDS = {k: 1.0 for k in range(16)}
 GROWN = {k: 1.0 for k in range(17)}
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -20,6 +21,20 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns.unionByName(extra)))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.describe_media(media.encode_media(table(spark, sf_dir, "documents")))
     pairs = F.transform(F.arrays_zip("times", "codes"), lambda x: F.concat_ws(":", x["times"].cast("string"), F.lower(F.hex(x["codes"]))))
@@ -38,7 +53,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op7_media, op8_shard, op9_url_filter)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_format, op4_decontaminate, op6_pack, op7_media, op8_shard, op9_url_filter, op10_quality)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 SQL = {
