@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, packing, quality, sharding, urls
+from . import chat, decontam, media, packing, quality, sharding, simhash, urls
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -14,6 +14,11 @@ GROWN = {k: 1.0 for k in range(17)}
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.linked_documents(table(spark, sf_dir, "documents"), k=3, radius=2)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -59,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op4_decontaminate, op6_pack, op7_media, op8_shard, op9_url_filter, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op4_decontaminate, op6_pack, op7_media, op8_shard, op9_url_filter, op10_quality)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 SQL = {
