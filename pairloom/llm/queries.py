@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, packing, quality, sharding, simhash, urls
+from . import chat, decontam, media, packing, pii, quality, sharding, simhash, urls
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns.unionByName(extra)))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, c -> c.kind = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(pii.BASE)]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("base").cast("binary"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -64,7 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op4_decontaminate, op6_pack, op7_media, op8_shard, op9_url_filter, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op3_pii, op4_decontaminate, op6_pack, op7_media, op8_shard, op9_url_filter, op10_quality)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 SQL = {
