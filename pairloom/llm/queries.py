@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, packing, pii, quality, sharding, simhash, urls
+from . import chat, decontam, lm, media, packing, pii, quality, sharding, simhash, urls
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -42,6 +42,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -70,7 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op3_pii, op4_decontaminate, op6_pack, op7_media, op8_shard, op9_url_filter, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op3_pii, op4_decontaminate, op5_lm_score, op6_pack, op7_media, op8_shard, op9_url_filter, op10_quality)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 SQL = {
