@@ -1 +1 @@
-
+"""Relational operators over clips and trials."""

@@ -1 +1 @@
-
+"""Analog tables, registered queries and their SQL."""

@@ -1 +1 @@
-
+"""Incremental work: resumable batches and streams of new files."""
