@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import binning
+from ..storage import written
 
 BINS = 20_000
 MIN_TRIALS = 50
@@ -25,12 +26,12 @@ def eer_exact(trials: DataFrame, score: str, target: str, *keys: str, coarse: in
     Null scores take no part; a group without both kinds has null rates.
 
     No task sees all trials of a group: they are counted by distinct score, these by coarse buckets
-    over the group's range. The difference of the rates only rises along the walk, so it changes sign
+    over the group's range. The counts are written once, as several steps read them. The difference of the rates only rises along the walk, so it changes sign
     in one bucket, and only that bucket's scores are walked; inside one score the walk is two straight
     lines, whose nearest integers are computed."""
     keys = list(keys)
     rows = trials.where(F.col(score).isNotNull() & F.col(target).isNotNull()).select(*keys, F.col(score).cast("double").alias("s"), F.col(target).alias("t"))
-    counts = rows.groupBy(*keys, "s").agg(F.count_if(F.col("t")).alias("a"), F.count_if(~F.col("t")).alias("b"))
+    counts = written(rows.groupBy(*keys, "s").agg(F.count_if(F.col("t")).alias("a"), F.count_if(~F.col("t")).alias("b")), "scores")
     sums = counts.groupBy(*keys).agg(F.sum("a").alias("nt"), F.sum("b").alias("nn"), F.min("s").alias("lo"), F.max("s").alias("hi"))
     on = keys
     joined = counts.join(sums, on) if on else counts.join(F.broadcast(sums))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import binning, durations, names, text, vectors
 from ..operators import batching, encode, features, histograms, metrics, parity, profile, sampling, split, trials
 from ..sources import files
+from ..storage import written
 from ..streaming import incremental
 from .clips import clips, negatives, positives, scored, sides, table, utterances, with_
 
@@ -695,7 +696,9 @@ _E4, _L4 = [100, 200, 400], text.bucket_labels([1, 2, 4])
 
 
 def _bounded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = scored(spark, sf_dir).withColumn("score", F.round("score", 9))
+    """Scored trials, written once as their range and their histograms both read them, and the range."""
+    s = scored(spark, sf_dir).select("target", "mic", "enroll_duration_cs", "test_duration_cs", F.round("score", 9).alias("score"))
+    s = written(s, "scored")
     return s, metrics.score_range(s, "score")
 
 
