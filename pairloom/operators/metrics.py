@@ -36,7 +36,7 @@ def eer_exact(trials: DataFrame, score: str, target: str, *keys: str, coarse: in
     on = keys
     joined = counts.join(sums, on) if on else counts.join(F.broadcast(sums))
     bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(coarse - 1), F.floor((F.col("hi") - F.col("s")) / (F.col("hi") - F.col("lo")) * coarse).cast("int"))).otherwise(0)
-    marked = joined.withColumn("bucket", bucket)
+    marked = joined.where("nt > 0 and nn > 0").withColumn("bucket", bucket)
     totals = marked.groupBy(*keys, "bucket", "nt", "nn").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     w = _cumulative(keys, "bucket")
     walked = totals.withColumns({"ta": F.sum("a").over(w), "tb": F.sum("b").over(w)})
@@ -59,7 +59,7 @@ def eer_exact(trials: DataFrame, score: str, target: str, *keys: str, coarse: in
     # a score's own steps accept something of it; the tail stands for its bucket's last step
     best = ends.select(*keys, "nt", "nn", "s", "a", "b", "pa", "pb", F.explode(_nearest_steps()).alias("p")).where("p.t + p.n > pa + pb or a + b = 0")
     distance = F.abs(wide(F.col("p.n")) * wide(F.col("nt")) - wide(F.col("nt") - F.col("p.t")) * wide(F.col("nn")))
-    rate = (F.col("p.n") / F.col("nn") + (F.col("nt") - F.col("p.t")) / F.col("nt")) / 2
+    rate = (F.try_divide(F.col("p.n"), F.col("nn")) + F.try_divide(F.col("nt") - F.col("p.t"), F.col("nt"))) / 2
     best = best.where("p.t + p.n > 0").select(*keys, F.struct(distance.alias("d"), (F.col("p.t") + F.col("p.n")).alias("step"), rate.alias("eer"), F.col("s").alias("threshold")).alias("x")).groupBy(*keys).agg(F.min("x").alias("x"))
     out = sums.join(best, on, "left") if on else sums.join(F.broadcast(best), how="left")
     ok = (F.col("nt") > 0) & (F.col("nn") > 0)
@@ -70,8 +70,8 @@ def _nearest_steps() -> Column:
     """Steps (t targets, n others accepted) of one score's two lines that may be nearest: the whole
     numbers around each line's zero, and the lines' ends."""
     nt, nn, a, b, pa, pb = (F.col(c) for c in ("nt", "nn", "a", "b", "pa", "pb"))
-    root_a = nt - pb * nt / nn - pa  # targets of this score to accept for equal rates
-    root_b = (nt - pa - a) * nn / nt - pb
+    root_a = nt - F.try_divide(pb * nt.cast("double"), nn) - pa  # targets of this score to accept for equal rates
+    root_b = F.try_divide((nt - pa - a) * nn.cast("double"), nt) - pb
     some = lambda root, most: F.array(*[F.greatest(F.lit(0), F.least(most, F.floor(root) + k)).cast("long") for k in (-1, 0, 1, 2)], most)
     first = F.transform(some(root_a, a), lambda i: F.struct((pa + F.greatest(i, F.least(F.lit(1), a))).alias("t"), pb.alias("n")))
     second = F.transform(some(root_b, b), lambda j: F.struct((pa + a).alias("t"), (pb + j).alias("n")))
