@@ -28,7 +28,7 @@ BASE = {
 }
 #: What must occur in a text for its pattern to match at all.
 _NEEDS = {"email": "text like '%@%'", "ip": r"text rlike '[0-9][.][0-9]'", "card": r"text rlike '[0-9][\\x20-]?[0-9]'", "phone": "text like '%+%'"}
-_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _VALID = {
     "email": "true",
     "ip": rf"m rlike '^{_OCTET}(?:[.]{_OCTET}){{3}}$'",
@@ -89,8 +89,8 @@ def _votes(kind: str) -> str:
 
 
 def candidates(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """keep columns, base (spans of the exact kinds) and extra (spans for the classifier to decide),
-    each an array of struct(kind, s, e, votes). A null text is empty.
+    """row (a struct of the keep columns), base (spans of the exact kinds) and extra (spans for the
+    classifier to decide), each an array of struct(kind, s, e, votes). A null text is empty.
 
     An extra span that overlaps a base span is none: it is settled."""
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -100,7 +100,7 @@ def candidates(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     extra = "concat(" + ", ".join(voted[k] for k in EXTRA) + ")"
     out = found.select("row", F.expr(base).alias("base"), F.expr(extra).alias("extra"))
     free = F.expr("if(size(extra) = 0, extra, filter(extra, x -> not exists(base, b -> b.s < x.e and x.s < b.e)))")
-    return out.select("row.*", "base", free.alias("extra"))
+    return out.select("row", "base", free.alias("extra"))
 
 
 def _posterior(s: str, votes: str) -> str:
@@ -165,7 +165,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     Places are code points, ends exclusive. A null or empty text has no spans; repeated rows and null
     keys are rows like any other; no rows give no rows; other columns are not read."""
     found = written(candidates(docs, [key], text), "spans")
-    return decide(found, train(found)).select(key, "base", "spans")
+    return decide(found, train(found)).select(F.col("row")[key].alias(key), "base", "spans")
 
 
 def redact(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
@@ -176,10 +176,12 @@ def redact(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataF
     marked = decide(found, train(found))
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     order = "array_sort(transform(spans, c -> struct(c.s as s, -c.e as e, c.kind as kind)))"
+    body = f"row.`{text}`"
     step = f"""if(c.s < a.p, struct(greatest(a.p, -c.e) as p, a.o as o),
-        struct(-c.e as p, array_append(array_append(a.o, substring(`{text}`, a.p + 1, c.s - a.p)), {names}[c.kind]) as o))"""
-    whole = f"aggregate({order}, struct(0 as p, cast(array() as array<string>) as o), (a, c) -> {step}, a -> concat(array_join(a.o, ''), substring(`{text}`, a.p + 1)))"
-    out = marked.withColumn(text, F.expr(f"if(size(spans) = 0 or `{text}` is null, `{text}`, {whole})"))
-    if chars in docs.columns:
-        out = out.withColumn(chars, F.when(F.size("spans") > 0, F.length(text).cast(dict(docs.dtypes)[chars])).otherwise(F.col(chars)))
-    return out.select(*docs.columns)
+        struct(-c.e as p, array_append(array_append(a.o, substring({body}, a.p + 1, c.s - a.p)), {names}[c.kind]) as o))"""
+    whole = f"aggregate({order}, struct(0 as p, cast(array() as array<string>) as o), (a, c) -> {step}, a -> concat(array_join(a.o, ''), substring({body}, a.p + 1)))"
+    out = marked.select("row", "spans", F.expr(f"if(size(spans) = 0 or {body} is null, {body}, {whole})").alias("clean"))
+    new = {c: F.col("row")[c] for c in docs.columns} | {text: F.col("clean")}
+    if chars in new:
+        new[chars] = F.when(F.size("spans") > 0, F.length("clean").cast(dict(docs.dtypes)[chars])).otherwise(new[chars])
+    return out.select(*[v.alias(c) for c, v in new.items()])
