@@ -94,7 +94,8 @@ class AttentionModel:
         return first, e, t, g, a, z, _sigmoid(z @ p["c"] + p["d"])
 
     def scores(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self._forward((x - self.mean) / self.scale, counts)[-1]
+        """Rounded, so that a bag's score does not depend on the bags beside it."""
+        return np.round(self._forward((x - self.mean) / self.scale, counts)[-1], 9)
 
     def fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 200, rate: float = 0.02, decay: float = 1e-4) -> AttentionModel:
         """Adam on the cross-entropy of all bags, with the gradients written out."""
