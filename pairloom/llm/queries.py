@@ -43,7 +43,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"))
+    return lm.score(table(spark, sf_dir, "documents")).withColumn("perplexity", F.round("perplexity", 3))
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op3_pii, op4_decontaminate, op5_lm_score, op6_pack, op7_media, op8_shard, op9_url_filter, op10_quality)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
+_WORDS_SQL = "list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '')"
 SQL = {
+    "op4_decontaminate": f"""
+WITH i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+ik AS (SELECT item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+ish AS (SELECT DISTINCT item_id, k, array_to_string(w[a:a + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM ik)),
+n AS (SELECT item_id, count(*) AS n FROM ish GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+dsh AS (SELECT r, doc_id, k, array_to_string(w[a:a + k - 1], ' ') AS s FROM (SELECT r, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM d, (SELECT DISTINCT k FROM ik)))
+SELECT doc_id, item_id, CAST(count(DISTINCT s) AS INT) AS n_shared, CAST(any_value(n) AS INT) AS n_shingles FROM dsh JOIN ish USING (k, s) JOIN n USING (item_id)
+GROUP BY r, doc_id, item_id HAVING count(DISTINCT s) >= ceil(0.8 * any_value(n) - 1e-9)""",
+    "op5_lm_score": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS_SQL}, []) AS w FROM documents),
+t AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS p FROM d), b AS (SELECT r, x, lag(x) OVER (PARTITION BY r ORDER BY p) AS v FROM t),
+one AS (SELECT x, count(*) AS n, CAST(round(ln(count(*)) * 1e6) AS BIGINT) AS l FROM t GROUP BY 1),
+two AS (SELECT v, x, count(*) AS n, CAST(round(ln(count(*)) * 1e6) AS BIGINT) AS l FROM b WHERE v IS NOT NULL GROUP BY ALL),
+k AS (SELECT CAST(round(ln(count(*)) * 1e6) AS BIGINT) AS all_l, CAST(round(ln(0.4) * 1e6) AS BIGINT) AS back_l FROM t),
+s AS (SELECT r, sum(CASE WHEN two.n >= 2 THEN two.l - c.l WHEN b.v IS NULL THEN one.l - all_l ELSE one.l - all_l + back_l END) / 1e6 AS log_score
+    FROM b JOIN one USING (x) LEFT JOIN two ON two.v = b.v AND two.x = b.x LEFT JOIN one c ON c.x = b.v, k GROUP BY r)
+SELECT doc_id, len(w) AS n_tokens, coalesce(log_score, 0) AS log_score, CASE WHEN len(w) > 0 THEN round(exp(-log_score / len(w)), 3) END AS perplexity FROM d LEFT JOIN s USING (r)""",
+    "op8_shard": """
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) + 1 AS size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM documents, t),
+u AS (SELECT r, j, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '#' || j), 13) AS BIGINT) AS u FROM d, (SELECT CAST(range AS INT) AS j FROM range(17))),
+s AS (SELECT r, arg_max(j, u * 32 + j) FILTER (j < 16) AS shard, arg_max(j, u * 32 + j) AS grown_shard FROM u GROUP BY r),
+b AS (SELECT *, left(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), 'null'), size, text_crc32)), 3) AS bucket FROM d JOIN s USING (r))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM b""",
     "op9_url_filter": f"""
 WITH rules(rhost, rpath, action) AS (VALUES {_RULES_SQL}),
 rest AS (SELECT row_number() OVER () AS n, page_id,

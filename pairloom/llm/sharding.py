@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_partitions
+BUCKETS = 4096
 
 
 def _unit(key: Column, shard: int) -> Column:
@@ -34,27 +34,33 @@ def rendezvous(key: Column, weights: Mapping[int, float]) -> Column:
     return _best(scores) if scores else F.lit(None).cast("int")
 
 
-def shard_records(df: DataFrame, key: str, weights: Mapping[int, float], grown: Mapping[int, float] | None = None, keep: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+def _bucket(columns: list[str]) -> Column:
+    """0 to BUCKETS - 1 by three hexadecimal digits of the columns' digest."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *texts).cast("binary")), 1, 3), 16, 10).cast("int")
+
+
+def shard_records(df: DataFrame, key: str, weights: Mapping[int, float], grown: Mapping[int, float] | None = None, keep: list[str] | None = None) -> DataFrame:
     """keep columns and key of each row, with shard, its slot there (gapless from 0) and, if grown
     weights are given, the shard it would have with those.
 
-    Slots need no task that holds a shard: a shard's rows are dealt to `buckets` buckets by hash,
-    numbered inside them, and offset by the counts of the buckets before. Rows that are equal in key
+    Slots need no task that holds a shard: a shard's rows are dealt to BUCKETS buckets by hash,
+    numbered inside them, and offset by the counts of the buckets before; they depend on the rows
+    alone, not on the cluster. Rows that are equal in key
     and keep are counted, numbered as one run and spread again, so a key that many rows share is no
     hot group. Null keys are one key; empty input gives no rows; other columns, whatever their names,
     are not read.
     """
     keep = [c for c in (keep or []) if c != key]
     cols = [key, *keep]
-    buckets = buckets or n_partitions(df.sparkSession, 8)
     base = df.select(
         F.struct(*cols).alias("row"),
         rendezvous(F.col(key), weights).cast("int").alias("shard"),
         (rendezvous(F.col(key), grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int").alias("bucket"),
+        _bucket(cols).alias("bucket"),
     )
     runs = base.groupBy("row", "shard", "grown_shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    # at most shards x buckets rows, whatever the input
+    # at most shards x BUCKETS rows, whatever the input
     sums = base.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -121,7 +121,7 @@ def test_media_columns(spark):
 def test_shards_are_balanced_and_grow_into_themselves(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 5).alias("size"), F.lit("?").alias("shard"))
     df = df.unionByName(spark.createDataFrame([(None, 1, "?")] * 300 + [(5, 0, "?")] * 300, "doc_id long, size long, shard string"))
-    out = sharding.shard_records(df, "doc_id", queries.SHARDS, queries.GROWN, ["size"], buckets=4).toPandas()
+    out = sharding.shard_records(df, "doc_id", queries.SHARDS, queries.GROWN, ["size"]).toPandas()
     assert len(out) == 4600
     for _, s in out.groupby("shard"):
         assert sorted(s.slot) == list(range(len(s)))
