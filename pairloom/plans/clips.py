@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import split, trials
+from ..operators import features, split, trials
 
 #: One text for both engines.
 CLIPS_SQL = """SELECT vec_id AS clip_id, label, embedding, mic_type, native_split, speaker_id, meeting_id, duration_cs,
@@ -64,8 +64,6 @@ def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positive and negative trials with the cosine of their clips and target (boolean)."""
-    from ..operators import features
-
     pos = positives(spark, sf_dir).withColumn("target", F.lit(True))
     neg = negatives(spark, sf_dir).drop("gender").withColumn("target", F.lit(False))
     both = pos.unionByName(neg)
