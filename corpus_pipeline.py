@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import decontam, packing, pii, quality, simhash
-from pairloom.llm.common import table, written
+from pairloom.llm.common import table
 from pairloom.llm.queries import tokenizer_path
+from pairloom.storage import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,53 +1,18 @@
-"""What several operators share: reading tables, cutting lineage, packed arrays."""
+"""What several operators share: reading tables, Arrow batches by key."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local
-    session gets a temporary one; a cluster session without it is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="pairloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  at exit the JVM may be gone already
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: later reads neither recompute it nor depend on any
-    one executor. The table goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pairloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_partitions(spark: SparkSession, at_least: int = 1) -> int:
     """Shuffle partitions as the session is sized for its data."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -75,7 +40,3 @@ def rounds(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object
             held.append(batch.slice(a, b - a))
     if held:
         yield now, held
-
-
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))

@@ -28,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, n_partitions, rounds, written
+from ..storage import written
+from .common import binary, n_partitions, rounds
 from .shingling import words
 
 MASK = np.uint64((1 << 48) - 1)

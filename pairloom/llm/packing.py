@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, rounds, written
+from ..storage import written
+from .common import rounds
 
 FAN_IN = 8
 PIECES_A_PARTITION = 100_000

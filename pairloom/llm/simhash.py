@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, n_partitions, rounds, written
+from ..storage import written
+from .common import binary, n_partitions, rounds
 from .components import components
 from .shingling import shingle_hashes, shingles, word_hashes, words
 from .vptree import Union, links
@@ -96,8 +97,8 @@ def _passages(w: list[bytes], hashes: np.ndarray, n: int) -> list[int]:
 
 
 def describe(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each row: key, digest of the text (MD5), number of shingles, a fingerprint of LANES x 64 bits
-    over its shingles of k words, and the passages' fingerprints."""
+    """Of each row: key, digest of the text (MD5), number of shingles of k words, a fingerprint
+    of LANES x 64 bits over these, and the passages' fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
