@@ -97,7 +97,7 @@ def _passages(w: list[bytes], hashes: np.ndarray, n: int) -> list[int]:
 
 
 def describe(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each row: key, digest of the text (MD5), number of shingles of k words, a fingerprint
+    """Of each row: key, digest of the text (MD5), number of distinct shingles of k words, a fingerprint
     of LANES x 64 bits over these, and the passages' fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,7 @@ def describe(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text
             tid, size, prints, passages = [], [], [], []
             for body in binary(batch.column(1)):
                 w = words(body or b"")
-                digests = shingle_digests(w, k)
+                digests = np.unique(shingle_digests(w, k))
                 tid.append(hashlib.md5(body or b"").hexdigest())
                 size.append(len(digests))
                 prints.append(wide(digests, LANES).tobytes())
