@@ -108,11 +108,12 @@ class Union:
             apart = a != b
             if not apart.any():
                 return
-            pairs = np.unique(np.stack([np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart])], 1), axis=0)
-            # of each larger root the first smaller one; what is left over comes again
-            high, first = np.unique(pairs[:, 1], return_index=True)
-            self.root[high] = pairs[first, 0]
-            a, b = pairs[:, 0], pairs[:, 1]
+            a, b = a[apart], b[apart]
+            pairs = np.unique(np.maximum(a, b) << 32 | np.minimum(a, b))
+            # of each larger root the least smaller one; what is left over comes again
+            a, b = pairs & 0xFFFFFFFF, pairs >> 32
+            high, first = np.unique(b, return_index=True)
+            self.root[high] = a[first]
 
 
 def linked(home: np.ndarray, visit: np.ndarray, radius: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
