@@ -34,7 +34,8 @@ from .shingling import words
 
 MASK = np.uint64((1 << 48) - 1)
 END = MASK
-ENTRIES = 3_000_000  # bigrams a partition, about
+ENTRIES = 2_000_000  # bigrams a partition, about
+LEAST = 200_000  # and no fewer for the sake of parallelism
 HOT = 200_000  # at most so many frequent words, and as many bigrams
 SLICE_BYTES = 2 << 20
 UNIT = 1e6
@@ -182,7 +183,8 @@ def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, key: str = "d
     texts = docs.select(F.col(text).alias("text"))
     table = written(_counted(texts), "words")
     total = table.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-total // entries))
+    # as many partitions as their size asks for, or the cluster has, if that leaves them worth a task
+    parts = max(1, -(-total // entries), min(n_partitions(spark), total // LEAST))
     often = max(2, total // (16 * parts))
     frequent = [table.where(f"kind = {k} and n >= {often}").orderBy(F.desc("n"), "id").limit(HOT).select("id", "n").collect() for k in (0, 1)]
     hot_words = _Known([tuple(r) for r in frequent[0]])
