@@ -80,11 +80,14 @@ def linked_documents(docs: DataFrame, k: int = 5, radius: int = 2, key: str = "d
     return base.join(found, "fp").select(key, "fp", "component_id", "links")
 
 
-# ---- near-duplicate texts: passages choose whom to compare, wide fingerprints decide
+# ---- near-duplicate texts: passages and wide fingerprints choose whom to compare, their shingles decide
 
 
 PASSAGE_WORDS, PASSAGES, LANES = 8, 6, 4
-BLOCK = 8192
+#: Share of the fingerprints' bits that candidates agree in. Pairs of Jaccard 0.8 agree in 0.85 on average, with a deviation of 0.02.
+AGREEMENT = 0.7
+#: Texts and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 8192, 1 << 21
 
 
 def _passages(w: list[bytes], hashes: np.ndarray, n: int) -> list[int]:
@@ -115,57 +118,142 @@ def describe(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text
     return docs.select(key, text).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, tid string, size long, print binary, passages array<long>")
 
 
+def _candidates(prints: np.ndarray, size: np.ndarray, similarity: float, r: int, rows: int, c: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j, i of the rows from r and j of the columns from c, whose fingerprints agree in
+    AGREEMENT of the bits and whose sizes allow the similarity."""
+    d = np.zeros((min(rows, len(prints) - r), min(columns, len(prints) - c)), np.uint16)
+    for lane in range(LANES):
+        d += np.bitwise_count(prints[r : r + rows, lane, None] ^ prints[None, c : c + columns, lane])
+    i, j = np.nonzero(d <= int((1 - AGREEMENT) * 64 * LANES + 1e-9))
+    i, j = r + i, c + j
+    fits = (i < j) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+    return i[fits], j[fits]
+
+
+def _edges(tids: np.ndarray, union: Union) -> pa.RecordBatch:
+    """Every text to the root of those it is joined with."""
+    root = union.find(np.arange(len(tids)))
+    apart = root != np.arange(len(tids))
+    return pa.RecordBatch.from_arrays([pa.array(tids[apart].tolist(), pa.string()), pa.array(tids[root[apart]].tolist(), pa.string())], ["a", "b"])
+
+
+def _group(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A group's rows, one a text, with their digests, sizes and fingerprints."""
+    whole = pa.Table.from_batches(held)
+    tids, first = np.unique(np.array(whole.column("tid").to_pylist()), return_index=True)
+    whole = whole.take(pa.array(first))
+    return whole, tids, whole.column("size").to_numpy(), np.frombuffer(b"".join(whole.column("print").to_pylist()), np.uint64).reshape(-1, LANES)
+
+
 def _compare(similarity: float):
-    """Edges that connect the texts of each group whose fingerprints agree in at least that share of
-    bits and whose sizes allow such a similarity."""
-    most = int((1 - similarity) * 64 * LANES + 1e-9)
+    """Edges that connect the candidates of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in rounds(batches, "group"):
-            whole = pa.Table.from_batches(held)
-            if whole.num_rows < 2:
-                continue
-            tids, first = np.unique(np.array(whole.column("tid").to_pylist()), return_index=True)
-            if len(tids) < 2:
-                continue
-            size = whole.column("size").to_numpy()[first]
-            prints = np.frombuffer(b"".join(whole.column("print").take(pa.array(first)).to_pylist()), np.uint64).reshape(-1, LANES)
+            _, tids, size, prints = _group(held)
             union = Union(len(tids))
             for r in range(0, len(tids), 256):
                 for c in range(r, len(tids), 4096):
-                    d = np.zeros((min(256, len(tids) - r), min(4096, len(tids) - c)), np.uint16)
-                    for lane in range(LANES):
-                        d += np.bitwise_count(prints[r : r + 256, lane, None] ^ prints[None, c : c + 4096, lane])
-                    i, j = np.nonzero(d <= most)
-                    i, j = r + i, c + j
-                    fits = (i < j) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
-                    union.join(i[fits], j[fits])
-            root = union.find(np.arange(len(tids)))
-            apart = root != np.arange(len(tids))
-            yield pa.RecordBatch.from_arrays([pa.array(tids[apart].tolist(), pa.string()), pa.array(tids[root[apart]].tolist(), pa.string())], ["a", "b"])
+                    union.join(*_candidates(prints, size, similarity, r, 256, c, 4096))
+            yield _edges(tids, union)
+
+    return run
+
+
+def jaccard(held: np.ndarray, starts: np.ndarray, size: np.ndarray, mark: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of set i to each of the sets js: set i is held[starts[i] : starts[i] + size[i]],
+    its members numbers below len(mark). mark is all False before and after."""
+    own = held[starts[i] : starts[i] + size[i]]
+    mark[own] = True
+    shared = np.empty(len(js), np.int64)
+    ends = np.cumsum(size[js])
+    at = 0
+    while at < len(js):  # so many sets at once as _AT_ONCE members, one at least
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 16 * _AT_ONCE, "right")))
+        n = size[js[at:to]]
+        offset = np.cumsum(n) - n
+        members = held[np.arange(n.sum()) + np.repeat(starts[js[at:to]] - offset, n)]
+        shared[at:to] = np.add.reduceat(mark[members], offset, dtype=np.int64)
+        at = to
+    mark[own] = False
+    return shared / (size[i] + size[js] - shared)
+
+
+def _confirm(similarity: float):
+    """Edges that connect the texts of each group whose sets of shingles are that similar: every
+    candidate pair is compared, but for those that are connected already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in rounds(batches, "group"):
+            whole, tids, size, prints = _group(held)
+            every, members = np.unique(np.frombuffer(b"".join(whole.column("shingles").to_pylist()), np.uint64), return_inverse=True)
+            starts, mark, union = np.cumsum(size) - size, np.zeros(len(every), bool), Union(len(tids))
+            for r in range(0, len(tids), 256):
+                i, j = _candidates(prints, size, similarity, r, 256, r, len(tids))
+                cuts = np.searchsorted(i, np.arange(r, min(r + 256, len(tids)) + 1))
+                for row, (a, b) in enumerate(zip(cuts, cuts[1:]), r):
+                    js = j[a:b]
+                    js = js[union.find(js) != union.find(np.array([row]))[0]]
+                    if len(js):
+                        js = js[jaccard(members, starts, size, mark, row, js) >= similarity - 1e-9]
+                        union.join(np.full(len(js), row), js)
+            yield _edges(tids, union)
 
     return run
 
 
-def near_duplicate_texts(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """node and root of the texts (by digest) that are near-duplicates of another: they share a passage
-    within 2 bits, and their fingerprints agree in at least `similarity` of the bits.
+def _in_blocks(members: DataFrame, by: str) -> DataFrame:
+    """tid and group of texts (tid, size and by): the texts of one `by` are cut into blocks by digest,
+    and every two of these are a group."""
+    most = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)
+    sizes = members.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.ceil(most).cast("int").alias("blocks")).where("n > 1")
+    own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
+    members = members.join(sizes, by).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.xxhash64(by, F.least("own", "other"), F.greatest("own", "other"))
+    return members.select("tid", group.alias("group")).distinct()
+
+
+def _shingles(texts: DataFrame, k: int) -> DataFrame:
+    """group, tid, size, print and distinct shingles of k words of texts (tid, size, print, groups and
+    text), repeats of a text within a partition once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            new = [n for n, tid in enumerate(batch.column("tid").to_pylist()) if tid not in seen and not seen.add(tid)]
+            batch = batch.take(pa.array(new, pa.int64()))
+            found = [np.unique(shingle_digests(words(body or b""), k)).tobytes() for body in binary(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("tid", "size", "print", "groups")], pa.array(found, pa.binary())], ["tid", "size", "print", "groups", "shingles"])
 
-    Takes describe() with one row a text. Groups of over BLOCK texts are cut into blocks by digest of
-    which every two meet in a task of their own: no group is capped and none is whole in one task."""
+    found = texts.select("tid", "size", "print", "groups", "text").mapInArrow(run, "tid string, size long, print binary, groups array<long>, shingles binary")
+    return found.select(F.explode("groups").alias("group"), "tid", "size", "print", "shingles")
+
+
+def near_duplicate_texts(texts: DataFrame, bodies: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """node and root of the texts (by digest) that are near-duplicates of another: their sets of
+    shingles of k words have at least that Jaccard similarity.
+
+    Candidates share a passage within 2 bits, and their fingerprints agree in AGREEMENT of the bits.
+    The shingles of texts with a candidate go once to those they are connected with, which are compared
+    exactly. Takes describe() with one row a text, and tid, key and text of the documents. Groups over
+    BLOCK texts or BLOCK_SHINGLES shingles are cut into blocks by digest of which every two meet in a
+    task of their own: no group is capped and none is whole in one task."""
     spark = texts.sparkSession
     keyed = texts.select("tid", F.explode("passages").alias("fp"))
     edges = written(links(keyed.select("fp").distinct()), "passage-links")
     keyed = keyed.unionByName(keyed.join(edges, keyed["fp"] == edges["a"]).select("tid", F.col("b").alias("fp"))).distinct()
-    sizes = keyed.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = keyed.join(sizes, "fp")
-    own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = F.xxhash64("fp", F.least("own", "other"), F.greatest("own", "other"))
-    members = members.select("tid", group.alias("group")).distinct()
-    rows = members.join(texts.select("tid", "size", "print"), "tid").select("group", "tid", "size", "print")
-    found = rows.repartition(n_partitions(spark), "group").sortWithinPartitions("group").mapInArrow(_compare(similarity), "a string, b string")
-    return components(found)
+    about = texts.select("tid", "size", "print")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n_partitions(spark), "group").sortWithinPartitions("group")
+
+    members = _in_blocks(keyed.withColumn("size", F.lit(0)), "fp").join(about, "tid").select("group", "tid", "size", "print")
+    near = components(grouped(members).mapInArrow(_compare(similarity), "a string, b string"))
+    near = written(near.join(texts, near["node"] == texts["tid"]).select("tid", "key", "size", "print", "root"), "candidates")
+    groups = _in_blocks(near.select("tid", "size", "root"), "root").groupBy("tid").agg(F.collect_list("group").alias("groups"))
+    near = near.join(groups, "tid").withColumnsRenamed({"tid": "__tid", "key": "__key"})
+    wanted = bodies.join(near, (F.col("tid") == F.col("__tid")) & F.col("key").eqNullSafe(F.col("__key")))
+    return components(grouped(_shingles(wanted, k)).mapInArrow(_confirm(similarity), "a string, b string"))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,10 +263,11 @@ def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str =
     other. Rows that are equal throughout count as copies."""
     base = written(describe(docs, k, key, text), "texts")
     texts = written(base.groupBy("tid").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("print").alias("print"), F.first("passages").alias("passages")), "distinct-texts")
-    roots = near_duplicate_texts(texts, similarity)
+    body = F.coalesce(F.col(text), F.lit(""))
+    roots = near_duplicate_texts(texts, docs.select(F.md5(body.cast("binary")).alias("tid"), F.col(key).alias("key"), body.alias("text")), k, similarity)
     rank = F.struct(F.col("key").isNull(), "key", "tid")
     kept = texts.join(roots, texts["tid"] == roots["node"], "left").groupBy(F.coalesce("root", "tid").alias("group")).agg(F.min(rank)["tid"].alias("__kept"))
-    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    digest = F.md5(body.cast("binary"))
     order = [F.col(key).isNull().alias("__null"), *([F.col(key)] + [F.col(c) for c in docs.columns if c != key])]
     marked = docs.withColumn("__tid", digest).join(kept, F.col("__tid") == F.col("__kept"), "left_semi")
     best = marked.groupBy("__tid").agg(F.min(F.struct(*order)).alias("row"))

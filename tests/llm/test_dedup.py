@@ -111,3 +111,28 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     rows = [(i, BASE + f" tail{i}") for i in range(40)]
     assert [r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+def test_pairs_are_confirmed_by_exact_jaccard(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = []
+    for _ in range(30):
+        base = [f"w{x}" for x in r.integers(10**6, size=150)]
+        for edits in (0, 1, 2, 4, 6, 8, 10):
+            w = list(base)
+            for at in r.choice(150, edits, replace=False):
+                w[at] = f"new{r.integers(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + n, " ".join(BASE.split()[:n])) for n in range(1, 20)]
+    sets = {i: {tuple(t.lower().split()[p : p + 5]) for p in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    similar = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i, j in similar:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(set(root.values()))
+    assert 0 < len(want) < len(rows) - 30
+    assert sorted(x["doc_id"] for x in simhash.deduplicate(docs).collect()) == want
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 300)
+    assert sorted(x["doc_id"] for x in simhash.deduplicate(docs).collect()) == want
