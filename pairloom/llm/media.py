@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 BLOCK = 192  # payloads are padded to a multiple of this
 RATE = 8000
-FRAME, HOP = 192, 96
-SEGMENT = 16  # frames of which each band gives one peak
-BANDS = ((2, 24), (24, 97))
-FAN = 2  # each peak is paired with so many later ones
+FRAME, HOP = 192, 12
+LOW = 2  # bins below are the mean and its leak
+NEAR = (16, 5)  # a peak is the strongest cell within so many frames (a power of two) and bins either way
+FLOOR, SHARE = 1.0, 1e-3  # and has that power and that share of its frame's strongest cell at least
+FAN = 5  # each peak is paired with so many later ones
+GAP = 6  # frames of a step in the gap of a code
 FRAMES_AT_ONCE = 1 << 14
 
 
@@ -45,39 +47,56 @@ def pad(payload: bytes, block: int = BLOCK) -> bytes:
     return payload + b" " * (-len(payload) % block if payload else block)
 
 
+def _local(power: np.ndarray) -> np.ndarray:
+    """Which cells of a spectrogram are local maxima within NEAR, for all frames but the NEAR[0] at
+    either end. Of frames that tie the first counts, so a steady sound has a peak where it starts."""
+    near, wide = NEAR
+    high = power.copy()
+    for k in range(1, wide + 1):
+        np.maximum(high[:, k:], power[:, :-k], out=high[:, k:])
+        np.maximum(high[:, :-k], power[:, k:], out=high[:, :-k])
+    own = power[near:-near]
+    found = (own == high[near:-near]) & (own >= np.maximum(FLOOR, SHARE * own.max(1, keepdims=True)))
+    k = 1
+    while k < near:  # the highest of k frames from each on
+        high = np.maximum(high[:-k], high[k:])
+        k *= 2
+    return found & (own > high[: len(own)]) & (own >= high[near + 1 :][: len(own)])
+
+
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frames and frequency bins of the spectral peaks, in order: of every SEGMENT frames and band the
-    strongest cell, the first of equals. Frames are transformed FRAMES_AT_ONCE at a time."""
-    n = (len(samples) - FRAME) // HOP + 1
-    window = np.hanning(FRAME).astype(np.float32)
+    """Frames and frequency bins of the spectrogram's local maxima, in order. Frames are transformed
+    FRAMES_AT_ONCE at a time, with those that decide about their first and last. A payload of one frame, of which
+    the window hides the first bytes, is led in by a frame of spaces."""
+    if len(samples) == FRAME:
+        samples = np.concatenate([np.full(FRAME, ord(" "), np.uint8), samples])
+    n, near = (len(samples) - FRAME) // HOP + 1, NEAR[0]
+    window = np.hanning(FRAME + 1)[:-1].astype(np.float32)  # periodic: a steady level leaks into no bin from LOW on
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP][:n]
     times, bins = [], []
     for at in range(0, n, FRAMES_AT_ONCE):
-        x = (frames[at : at + FRAMES_AT_ONCE].astype(np.float32) - 128) * window
-        spectrum = np.fft.rfft(x, axis=1)
-        power = spectrum.real**2 + spectrum.imag**2
-        whole = len(power) // SEGMENT * SEGMENT
-        for lo, hi in BANDS:
-            width = hi - lo
-            for part, first, length in ((power[:whole, lo:hi], 0, SEGMENT), (power[whole:, lo:hi], whole, len(power) - whole)):
-                if part.size:
-                    best = part.reshape(-1, length * width).argmax(1)
-                    times.append(at + first + np.arange(len(best)) * length + best // width)
-                    bins.append(lo + best % width)
-    t, f = np.concatenate(times), np.concatenate(bins)
-    order = np.lexsort((f, t))
-    return t[order], f[order]
+        to = min(n, at + FRAMES_AT_ONCE)
+        lo, hi = max(0, at - near), min(n, to + near)
+        spectrum = np.fft.rfft((frames[lo:hi].astype(np.float32) - 128) * window, axis=1)[:, LOW:]
+        power = np.full((to - at + 2 * near, spectrum.shape[1]), -1, np.float32)
+        power[lo - at + near : hi - at + near] = spectrum.real**2 + spectrum.imag**2
+        t, f = np.nonzero(_local(power))
+        times.append(at + t)
+        bins.append(LOW + f)
+    return np.concatenate(times), np.concatenate(bins)
 
 
 def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(times, codes) of the peak pairs: the first peak's frame, and both bins with the frames between
-    them as f1 << 20 | f2 << 12 | gap (gaps over 4095 as 4095). A payload with a single peak per band
-    still has pairs, as bands pair with each other."""
+    """(times, codes) of the peak pairs: the first peak's frame, and both bins with the steps of GAP
+    frames between them as f1 << 20 | f2 << 12 | gap (gaps over 4095 as 4095). Peaks of one frame pair
+    with each other, and a payload's only peak with itself. Without a sound, as of spaces, there are none."""
     t, f = peaks(samples)
+    if len(t) == 1:
+        t, f = t.repeat(2), f.repeat(2)
     times, codes = [], []
     for k in range(1, FAN + 1):
         if len(t) > k:
-            gap = np.minimum(t[k:] - t[:-k], 4095)
+            gap = np.minimum((t[k:] - t[:-k]) // GAP, 4095)
             times.append(t[:-k])
             codes.append(f[:-k] << 20 | f[k:] << 12 | gap)
     if not times:

@@ -103,6 +103,31 @@ def test_peaks_find_tones():
         media.FRAMES_AT_ONCE = old
 
 
+def _features(data):
+    return media.fingerprint(np.frombuffer(media.pad(data), np.uint8))
+
+
+def _invented(r, n):
+    return " ".join("".join(chr(97 + int(c)) for c in r.integers(26, size=int(r.integers(2, 10)))) for _ in range(n)).encode()
+
+
+def test_different_texts_have_different_features():
+    r = np.random.default_rng(3)
+    texts = {_invented(r, n) for n in (5, 10, 20, 60, 200) for _ in range(100)}
+    assert len({(t.tobytes(), c.tobytes()) for t, c in map(_features, texts)}) == len(texts)
+    assert len(_features(b"")[0]) == 0 and all(len(_features(w)[0]) for w in _invented(r, 100).split())
+
+
+@pytest.mark.parametrize("shift", [0, 6, 50, 96, 768])
+def test_shifted_excerpts_share_codes_with_their_source(shift):
+    r = np.random.default_rng(4)
+    texts = [_invented(r, 2500) for _ in range(3)]
+    sources = [set(_features(t)[1].tolist()) for t in texts]
+    cut = _features(texts[0][3072 + shift : 3072 + shift + 4608])[1].tolist()
+    share = [np.mean([c in s for c in cut]) for s in sources]
+    assert share[0] > 0.6 and max(share[1:]) < 0.3
+
+
 def test_media_columns(spark):
     got = media.describe_media(media.encode_media(documents(spark))).collect()
     assert len(got) == len(TEXTS)
