@@ -6,7 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,19 @@ def n_partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """name, or name with underscores after it, so that no column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low or f"{name}_key".lower() in low:
+        name += "_"
+    return name
+
+
 def binary(column: pa.ChunkedArray | pa.Array) -> list:
     """A string column's values as UTF-8 bytes (None for null)."""
     return column.cast(pa.binary()).to_pylist()

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .common import binary, n_partitions, rounds
+from .common import binary, fresh, n_partitions, quoted, rounds
 from .components import components
-from .shingling import shingle_hashes, shingles, word_hashes, words
+from .shingling import shingles, words
 from .vptree import Union, links
 
 SEED = 42
@@ -80,69 +80,97 @@ def linked_documents(docs: DataFrame, k: int = 5, radius: int = 2, key: str = "d
     return base.join(found, "fp").select(key, "fp", "component_id", "links")
 
 
-# ---- near-duplicate texts: passages and wide fingerprints choose whom to compare, their shingles decide
+# ---- near-duplicate texts: a prefix of the shingles and the tree choose whom to compare, the shingles decide
 
 
-PASSAGE_WORDS, PASSAGES, LANES = 8, 6, 4
-#: Share of the fingerprints' bits that candidates agree in. Pairs of Jaccard 0.8 agree in 0.85 on average, with a deviation of 0.02.
-AGREEMENT = 0.7
+LANES = 4
+#: Share of the wide fingerprints' bits that candidates agree in, for texts of SMALL distinct shingles or
+#: more and for shorter ones. Pairs of Jaccard 0.8 agree in 0.85 (0.81) on average, deviation 0.02.
+AGREEMENT, AGREEMENT_SMALL, SMALL = 0.7, 0.62, 32
 #: Texts and shingles of a block.
 BLOCK, BLOCK_SHINGLES = 8192, 1 << 21
+#: Texts that are looked at for frequent shingles, the share that makes one, and how many there can be.
+LOOKED_AT, FREQUENT_SHARE, FREQUENT = 4096, 1 / 256, 1 << 16
 
 
-def _passages(w: list[bytes], hashes: np.ndarray, n: int) -> list[int]:
-    """Fingerprints of the n passages of PASSAGE_WORDS words with the least hashes (of the whole text
-    if it is shorter)."""
-    if len(w) <= PASSAGE_WORDS:
-        return [int(majority(shingle_digests(w, 3)))]
-    h, first = np.unique(shingle_hashes(hashes, PASSAGE_WORDS), return_index=True)
-    return sorted({int(majority(shingle_digests(w[i : i + PASSAGE_WORDS], 3))) for i in first[:n].tolist()})
+def frequent_shingles(docs: DataFrame, k: int = 5, text: str = "text") -> np.ndarray:
+    """Sorted digests of shingles that many texts of a bounded sample have. They only say which shingles
+    come last in a prefix, never which texts are compared or alike: any set gives the same result."""
+    n = docs.count()
+    if not n:
+        return np.zeros(0, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in binary(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_digests(words(body or b""), k)).view(np.int64))], ["h"])
+
+    some = docs.sample(min(1.0, LOOKED_AT / n), seed=SEED).select(quoted(text)).mapInArrow(run, "h long")
+    found = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(4, int(LOOKED_AT * FREQUENT_SHARE))).orderBy(F.desc("n"), "h").limit(FREQUENT)
+    return np.sort(np.array([r["h"] for r in found.collect()], np.int64).view(np.uint64))
+
+
+def prefix(digests: np.ndarray, similarity: float, last: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 of n distinct digests (sorted), those in `last` after all
+    others. Two sets with that Jaccard similarity have one of these in common, as both follow one order."""
+    n = len(digests)
+    if not n:
+        return digests
+    if len(last):
+        late = last[np.minimum(np.searchsorted(last, digests), len(last) - 1)] == digests
+        digests = np.concatenate([digests[~late], digests[late]])
+    return digests[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
 
 
-def describe(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def describe(docs: DataFrame, k: int = 5, similarity: float = 0.8, last: np.ndarray | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each row: key, digest of the text (MD5), number of distinct shingles of k words, a fingerprint
-    of LANES x 64 bits over these, and the passages' fingerprints."""
+    of LANES x 64 bits over these, its first 64 as fp, and the prefix of the shingles."""
+    last = np.zeros(0, np.uint64) if last is None else last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tid, size, prints, passages = [], [], [], []
+            tid, size, prints, fps, prefixes = [], [], [], [], []
             for body in binary(batch.column(1)):
-                w = words(body or b"")
-                digests = np.unique(shingle_digests(w, k))
+                digests = np.unique(shingle_digests(words(body or b""), k))
+                lanes = wide(digests, LANES)
                 tid.append(hashlib.md5(body or b"").hexdigest())
                 size.append(len(digests))
-                prints.append(wide(digests, LANES).tobytes())
-                passages.append(np.array(_passages(w, word_hashes(w), PASSAGES), np.uint64).view(np.int64) if w else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tid), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(passages, pa.list_(pa.int64()))], ["key", "tid", "size", "print", "passages"])
+                prints.append(lanes.tobytes())
+                fps.append(int(lanes.view(np.int64)[0]))
+                prefixes.append(prefix(digests, similarity, last).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tid, pa.string()), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(fps, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["key", "tid", "size", "print", "fp", "prefix"])
 
-    return docs.select(key, text).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, tid string, size long, print binary, passages array<long>")
+    rows = docs.select(quoted(key).alias("key"), quoted(text).alias("text"))
+    return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, tid string, size long, print binary, fp long, prefix array<long>")
 
 
 def _candidates(prints: np.ndarray, size: np.ndarray, similarity: float, r: int, rows: int, c: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j, i of the rows from r and j of the columns from c, whose fingerprints agree in
-    AGREEMENT of the bits and whose sizes allow the similarity."""
+    """Pairs i < j, i of the rows from r and j of the columns from c, whose fingerprints agree in enough
+    of the bits and whose sizes allow the similarity."""
     d = np.zeros((min(rows, len(prints) - r), min(columns, len(prints) - c)), np.uint16)
     for lane in range(LANES):
         d += np.bitwise_count(prints[r : r + rows, lane, None] ^ prints[None, c : c + columns, lane])
-    i, j = np.nonzero(d <= int((1 - AGREEMENT) * 64 * LANES + 1e-9))
+    i, j = np.nonzero(d <= int((1 - AGREEMENT_SMALL) * 64 * LANES + 1e-9))
+    d = d[i, j]
     i, j = r + i, c + j
-    fits = (i < j) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    fits = (i < j) & (low >= similarity * high - 1e-9) & ((d <= int((1 - AGREEMENT) * 64 * LANES + 1e-9)) | (high < SMALL))
     return i[fits], j[fits]
 
 
-def _edges(tids: np.ndarray, union: Union) -> pa.RecordBatch:
+def _edges(ids: np.ndarray, union: Union) -> pa.RecordBatch:
     """Every text to the root of those it is joined with."""
-    root = union.find(np.arange(len(tids)))
-    apart = root != np.arange(len(tids))
-    return pa.RecordBatch.from_arrays([pa.array(tids[apart].tolist(), pa.string()), pa.array(tids[root[apart]].tolist(), pa.string())], ["a", "b"])
+    root = union.find(np.arange(len(ids)))
+    apart = root != np.arange(len(ids))
+    return pa.RecordBatch.from_arrays([pa.array(ids[apart]), pa.array(ids[root[apart]])], ["a", "b"])
 
 
 def _group(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """A group's rows, one a text, with their digests, sizes and fingerprints."""
+    """A group's rows, one a text, with their ids, sizes and fingerprints."""
     whole = pa.Table.from_batches(held)
-    tids, first = np.unique(np.array(whole.column("tid").to_pylist()), return_index=True)
+    ids, first = np.unique(whole.column("id").to_numpy(), return_index=True)
     whole = whole.take(pa.array(first))
-    return whole, tids, whole.column("size").to_numpy(), np.frombuffer(b"".join(whole.column("print").to_pylist()), np.uint64).reshape(-1, LANES)
+    return whole, ids, whole.column("size").to_numpy(), np.frombuffer(b"".join(whole.column("print").to_pylist()), np.uint64).reshape(-1, LANES)
 
 
 def _compare(similarity: float):
@@ -150,12 +178,12 @@ def _compare(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in rounds(batches, "group"):
-            _, tids, size, prints = _group(held)
-            union = Union(len(tids))
-            for r in range(0, len(tids), 256):
-                for c in range(r, len(tids), 4096):
+            _, ids, size, prints = _group(held)
+            union = Union(len(ids))
+            for r in range(0, len(ids), 256):
+                for c in range(r, len(ids), 4096):
                     union.join(*_candidates(prints, size, similarity, r, 256, c, 4096))
-            yield _edges(tids, union)
+            yield _edges(ids, union)
 
     return run
 
@@ -185,90 +213,110 @@ def _confirm(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in rounds(batches, "group"):
-            whole, tids, size, prints = _group(held)
+            whole, ids, size, prints = _group(held)
             every, members = np.unique(np.frombuffer(b"".join(whole.column("shingles").to_pylist()), np.uint64), return_inverse=True)
-            starts, mark, union = np.cumsum(size) - size, np.zeros(len(every), bool), Union(len(tids))
-            for r in range(0, len(tids), 256):
-                i, j = _candidates(prints, size, similarity, r, 256, r, len(tids))
-                cuts = np.searchsorted(i, np.arange(r, min(r + 256, len(tids)) + 1))
+            starts, mark, union = np.cumsum(size) - size, np.zeros(len(every), bool), Union(len(ids))
+            for r in range(0, len(ids), 256):
+                i, j = _candidates(prints, size, similarity, r, 256, r, len(ids))
+                cuts = np.searchsorted(i, np.arange(r, min(r + 256, len(ids)) + 1))
                 for row, (a, b) in enumerate(zip(cuts, cuts[1:]), r):
                     js = j[a:b]
                     js = js[union.find(js) != union.find(np.array([row]))[0]]
                     if len(js):
                         js = js[jaccard(members, starts, size, mark, row, js) >= similarity - 1e-9]
                         union.join(np.full(len(js), row), js)
-            yield _edges(tids, union)
+            yield _edges(ids, union)
 
     return run
 
 
-def _in_blocks(members: DataFrame, by: str) -> DataFrame:
-    """tid and group of texts (tid, size and by): the texts of one `by` are cut into blocks by digest,
-    and every two of these are a group."""
-    most = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)
-    sizes = members.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.ceil(most).cast("int").alias("blocks")).where("n > 1")
-    own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
+def _in_blocks(members: DataFrame, by: str, weight: str | None = None) -> DataFrame:
+    """id and group of texts (id, by and, if given, weight): the texts of one `by` are cut into blocks by
+    hash, and every two of these are a group."""
+    most = F.count(F.lit(1)) / BLOCK
+    if weight:
+        most = F.greatest(most, F.sum(weight) / BLOCK_SHINGLES)
+    sizes = members.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.ceil(most).cast("int").alias("blocks")).where("n > 1").select(by, "blocks")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     members = members.join(sizes, by).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64(by, F.least("own", "other"), F.greatest("own", "other"))
-    return members.select("tid", group.alias("group")).distinct()
+    return members.select("id", group.alias("group")).distinct()
 
 
 def _shingles(texts: DataFrame, k: int) -> DataFrame:
-    """group, tid, size, print and distinct shingles of k words of texts (tid, size, print, groups and
+    """group, id, size, print and distinct shingles of k words of texts (id, size, print, groups and
     text), repeats of a text within a partition once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+        seen: set[int] = set()
         for batch in batches:
-            new = [n for n, tid in enumerate(batch.column("tid").to_pylist()) if tid not in seen and not seen.add(tid)]
+            new = [n for n, i in enumerate(batch.column("id").to_pylist()) if i not in seen and not seen.add(i)]
             batch = batch.take(pa.array(new, pa.int64()))
             found = [np.unique(shingle_digests(words(body or b""), k)).tobytes() for body in binary(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("tid", "size", "print", "groups")], pa.array(found, pa.binary())], ["tid", "size", "print", "groups", "shingles"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "size", "print", "groups")], pa.array(found, pa.binary())], ["id", "size", "print", "groups", "shingles"])
 
-    found = texts.select("tid", "size", "print", "groups", "text").mapInArrow(run, "tid string, size long, print binary, groups array<long>, shingles binary")
-    return found.select(F.explode("groups").alias("group"), "tid", "size", "print", "shingles")
+    found = texts.select("id", "size", "print", "groups", "text").mapInArrow(run, "id long, size long, print binary, groups array<long>, shingles binary")
+    return found.select(F.explode("groups").alias("group"), "id", "size", "print", "shingles")
 
 
-def near_duplicate_texts(texts: DataFrame, bodies: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """node and root of the texts (by digest) that are near-duplicates of another: their sets of
-    shingles of k words have at least that Jaccard similarity.
+def near_duplicate_texts(texts: DataFrame, bodies: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    """node and root of the texts (by id) that are near-duplicates of another: their sets of shingles of
+    k words have at least that Jaccard similarity.
 
-    Candidates share a passage within 2 bits, and their fingerprints agree in AGREEMENT of the bits.
-    The shingles of texts with a candidate go once to those they are connected with, which are compared
-    exactly. Takes describe() with one row a text, and tid, key and text of the documents. Groups over
-    BLOCK texts or BLOCK_SHINGLES shingles are cut into blocks by digest of which every two meet in a
-    task of their own: no group is capped and none is whole in one task."""
+    Candidates are texts whose fingerprints the vantage-point trees find within the radius, and texts
+    that share a shingle of their prefixes, as any two of the similarity do: no pair is left to chance.
+    Of these the pairs whose wide fingerprints agree go on, and the shingles of texts with a candidate go
+    once to those they are connected with, which are compared exactly. Takes describe() with one row a
+    text and an id each, written to a table, and tid, key and text of the documents. Texts without
+    shingles have no near-duplicates; no rows give no rows. Groups over BLOCK texts or BLOCK_SHINGLES
+    shingles are cut into blocks by hash of which every two meet in a task of their own: no group is
+    capped and none is whole in one task."""
     spark = texts.sparkSession
-    keyed = texts.select("tid", F.explode("passages").alias("fp"))
-    edges = written(links(keyed.select("fp").distinct()), "passage-links")
-    keyed = keyed.unionByName(keyed.join(edges, keyed["fp"] == edges["a"]).select("tid", F.col("b").alias("fp"))).distinct()
-    about = texts.select("tid", "size", "print")
+    points = written(texts.where("size > 0").select("fp").distinct(), "points")
+    roots = written(components(links(points, radius)), "fingerprint-roots")
+    tree = texts.where("size > 0").join(roots, F.col("fp") == F.col("node"), "left").select("id", F.xxhash64(F.coalesce("root", "fp"), F.lit("fp")).alias("by"))
+    keyed = texts.select("id", F.explode("prefix").alias("by")).unionByName(tree)
 
     def grouped(rows: DataFrame) -> DataFrame:
         return rows.repartition(n_partitions(spark), "group").sortWithinPartitions("group")
 
-    members = _in_blocks(keyed.withColumn("size", F.lit(0)), "fp").join(about, "tid").select("group", "tid", "size", "print")
-    near = components(grouped(members).mapInArrow(_compare(similarity), "a string, b string"))
-    near = written(near.join(texts, near["node"] == texts["tid"]).select("tid", "key", "size", "print", "root"), "candidates")
-    groups = _in_blocks(near.select("tid", "size", "root"), "root").groupBy("tid").agg(F.collect_list("group").alias("groups"))
-    near = near.join(groups, "tid").withColumnsRenamed({"tid": "__tid", "key": "__key"})
+    members = _in_blocks(keyed, "by").join(texts.select("id", "size", "print"), "id").select("group", "id", "size", "print")
+    near = components(grouped(members).mapInArrow(_compare(similarity), "a long, b long"))
+    near = written(near.join(texts, near["node"] == texts["id"]).select("id", "tid", "key", "size", "print", "root"), "candidates")
+    groups = _in_blocks(near.select("id", "size", "root"), "root", "size").groupBy("id").agg(F.collect_list("group").alias("groups"))
+    near = near.join(groups, "id").withColumnsRenamed({"tid": "__tid", "key": "__key"})
     wanted = bodies.join(near, (F.col("tid") == F.col("__tid")) & F.col("key").eqNullSafe(F.col("__key")))
-    return components(grouped(_shingles(wanted, k)).mapInArrow(_confirm(similarity), "a string, b string"))
+    return components(grouped(_shingles(wanted, k)).mapInArrow(_confirm(similarity), "a long, b long"))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, all columns: the one of least key, nulls last.
 
     Exact copies are one text; a null text is the empty text, and empty texts are copies of each
-    other. Rows that are equal throughout count as copies."""
-    base = written(describe(docs, k, key, text), "texts")
-    texts = written(base.groupBy("tid").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("print").alias("print"), F.first("passages").alias("passages")), "distinct-texts")
-    body = F.coalesce(F.col(text), F.lit(""))
-    roots = near_duplicate_texts(texts, docs.select(F.md5(body.cast("binary")).alias("tid"), F.col(key).alias("key"), body.alias("text")), k, similarity)
-    rank = F.struct(F.col("key").isNull(), "key", "tid")
-    kept = texts.join(roots, texts["tid"] == roots["node"], "left").groupBy(F.coalesce("root", "tid").alias("group")).agg(F.min(rank)["tid"].alias("__kept"))
+    other. Of several rows with the kept key and text the one whose columns, as JSON, come first stays.
+    Columns may have any names and types, maps too; very long texts are read whole; no rows give no
+    rows."""
+    base = written(describe(docs, k, similarity, frequent_shingles(docs, k, text), key, text), "texts")
+    texts = base.groupBy("tid").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("size", "print", "fp", "prefix")])
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "distinct-texts")
+    body = F.coalesce(quoted(text), F.lit(""))
     digest = F.md5(body.cast("binary"))
-    order = [F.col(key).isNull().alias("__null"), *([F.col(key)] + [F.col(c) for c in docs.columns if c != key])]
-    marked = docs.withColumn("__tid", digest).join(kept, F.col("__tid") == F.col("__kept"), "left_semi")
-    best = marked.groupBy("__tid").agg(F.min(F.struct(*order)).alias("row"))
-    return best.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    roots = near_duplicate_texts(texts, docs.select(digest.alias("tid"), quoted(key).alias("key"), body.alias("text")), k, similarity)
+    kept = texts.join(roots, texts["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("group")).agg(F.min(F.struct(F.col("key").isNull(), "key", "tid")).alias("kept"))
+    kept = written(kept.select("kept.tid", "kept.key"), "kept")
+    tid, digests = (fresh(docs.columns, c) for c in ("kept_tid", "digest"))
+    names = [quoted(c) for c in docs.columns]
+
+    def chosen(of: DataFrame) -> DataFrame:
+        right = of.select(F.col("tid").alias(tid), F.col("key").alias(f"{tid}_key"))
+        return docs.withColumn(digests, digest).join(right, (F.col(digests) == F.col(tid)) & quoted(key).eqNullSafe(F.col(f"{tid}_key")), "left_semi")
+
+    same = (F.col("tid") == F.col("t")) & F.col("key").eqNullSafe(F.col("k"))
+    counted = base.select("tid", "key").join(kept.select(F.col("tid").alias("t"), F.col("key").alias("k")), same, "left_semi").groupBy("tid", "key").agg(F.count(F.lit(1)).alias("n"))
+    repeated = written(counted.where("n > 1").select("tid", "key"), "repeated")
+    if repeated.isEmpty():
+        return chosen(kept).select(*names)
+    only = chosen(kept.join(repeated.select(F.col("tid").alias("t"), F.col("key").alias("k")), same, "left_anti")).select(*names)
+    rows = chosen(repeated).select(F.col(digests), F.struct(*names).alias("row"))
+    first = rows.groupBy(digests).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return only.unionByName(first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

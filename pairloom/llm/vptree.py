@@ -22,6 +22,7 @@ from .common import n_partitions, rounds
 
 SAMPLE = 16_384
 SHARD = 50_000
+LEAST = 16_384  # points of a shard for the sake of parallelism
 LEAF = 256
 _ROWS, _COLUMNS = 256, 4096
 
@@ -156,12 +157,13 @@ def links(fingerprints: DataFrame, radius: int = 2, column: str = "fp", sample:
     group that a shard finds, every member to its least one.
 
     The column holds distinct longs, no nulls; no rows give no edges. The top tree is grown from at
-    most `sample` fingerprints (those of least hash), one shard for each `shard` fingerprints; it
-    decides where pairs meet, not whether."""
+    most `sample` fingerprints (those of least hash), one shard for each `shard` fingerprints, or fewer
+    of them if the cluster has tasks to spare; it decides where pairs meet, not whether. Each shard is
+    the task of its number."""
     spark = fingerprints.sparkSession
     fingerprints = fingerprints.select(F.col(column).alias("fp"))
     n = fingerprints.count()
-    shards = max(1, -(-n // shard))
+    shards = max(1, -(-n // shard), min(n_partitions(spark), n // LEAST))
     drawn = np.array([r[0] for r in fingerprints.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64) if shards > 1 else np.zeros(0, np.uint64)
     tree = grow(drawn, shards, radius) if shards > 1 else 0
 
@@ -181,5 +183,4 @@ def links(fingerprints: DataFrame, radius: int = 2, column: str = "fp", sample:
             yield pa.RecordBatch.from_arrays([pa.array(a[apart].view(np.int64)), pa.array(b[apart].view(np.int64))], ["a", "b"])
 
     dealt = fingerprints.mapInArrow(deal, "shard int, fp long, home boolean")
-    tasks = min(shards * 2, max(n_partitions(spark), shards)) if shards > 1 else 1
-    return dealt.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long")
+    return dealt.repartitionById(shards, F.col("shard")).mapInArrow(search, "a long, b long")

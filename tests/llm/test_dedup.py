@@ -136,3 +136,67 @@ def test_pairs_are_confirmed_by_exact_jaccard(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in simhash.deduplicate(docs).collect()) == want
     monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 300)
     assert sorted(x["doc_id"] for x in simhash.deduplicate(docs).collect()) == want
+
+
+def test_documents_lose_near_duplicates_and_nothing_else(spark, sf_dir):
+    from collections import Counter, defaultdict
+    from pathlib import Path
+
+    larger = Path(sf_dir).parent / "sf0.01"
+    docs = spark.read.parquet(f"{larger if larger.exists() else sf_dir}/documents.parquet")
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))}
+    holders = defaultdict(list)
+    for i, s in sorted(sets.items()):
+        for x in s:
+            holders[x].append(i)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in sets.items():
+        for j, n in Counter(j for x in s for j in holders[x] if j < i).items():
+            if n >= 0.8 * len(s | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = sorted({find(i) for i in sets})
+    assert len(want) < len(sets)
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == want
+
+
+@pytest.mark.parametrize("size", [1, 4, 5, 9, 40, 300])
+@pytest.mark.parametrize("late", [0, 20])
+def test_prefixes_of_similar_sets_meet(size, late):
+    r = np.random.default_rng(size)
+    for _ in range(200):
+        a = np.unique(r.integers(2**63, size=size, dtype=np.uint64))
+        drop = int(r.integers(0, int(0.2 * len(a) + 1e-9) + 1))
+        b = np.setdiff1d(a, r.choice(a, drop, replace=False))
+        last = np.sort(r.choice(a, min(late, len(a)), replace=False))
+        assert len(b) / len(a) >= 0.8 - 1e-12
+        assert len(np.intersect1d(simhash.prefix(a, 0.8, last), simhash.prefix(b, 0.8, last)))
+
+
+def test_any_columns_survive(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, BASE), (2, BASE), (2, BASE), (None, "only this"), (5, BASE + " x"), (6, None)]
+    docs = spark.createDataFrame(rows, "`a.b` long, text string")
+    docs = docs.withColumns({"m": F.create_map(F.lit("k"), F.col("text")), "__tid": F.lit("mine"), "digest": F.lit("own"), "kept_tid_key": F.lit(1), "c`d": F.lit(2)})
+    kept = simhash.deduplicate(docs, key="a.b")
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert {r["a.b"] for r in got} == {1, None, 6} and {r["__tid"] for r in got} == {"mine"} and got[0]["m"] is not None
+    same = simhash.deduplicate(docs.where("`a.b` = 2"), key="a.b").collect()
+    assert len(same) == 1 and same[0]["a.b"] == 2 and same[0]["kept_tid_key"] == 1
+
+
+def test_shards_are_dealt_by_number(spark):
+    points = np.random.default_rng(3).integers(0, 2**63, 4000, dtype=np.int64)
+    plan = vptree.links(spark.createDataFrame([(int(p),) for p in points], "fp long"), 2, shard=400)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(shard" not in plan
