@@ -11,21 +11,26 @@ and '>' get a backslash before them, so no text can look like a mark, and unesca
 from __future__ import annotations
 
 import hashlib
+import itertools
+import operator
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import n_partitions
+from .packing import tokenizer
 
 CLOSE = "\n</turn>\n"
-WINDOWS = "conv_id {key}, window int, text string, n_tokens long, n_repeated int, loss_start array<int>, loss_end array<int>"
+WINDOWS = [("window", "int", pa.int32()), ("text", "string", pa.string()), ("n_tokens", "long", pa.int64()), ("n_repeated", "int", pa.int32()), ("loss_start", "array<int>", pa.list_(pa.int32())), ("loss_end", "array<int>", pa.list_(pa.int32()))]
+DIGESTS = [("n_turns", "long", pa.int64()), ("turns_sha256", "string", pa.string()), ("loss_chars", "long", pa.int64()), ("loss_sha256", "string", pa.string()), ("formatted_chars", "long", pa.int64()), ("n_windows", "long", pa.int64())]
 _SPECIAL = re.compile(r"[\\<>]")
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _HEAD = re.compile(r"<turn ((?:[^\\>]|\\.)*)>\n", re.S)
 _MARK_TOKENS = 4
+_BATCH_CHARS = 1 << 20
 
 
 def escape(text: str) -> str:
@@ -91,89 +96,114 @@ class _Conversation:
         return out
 
 
-def format_chat(turns: DataFrame, budget: int = 1024, history: int = 192, targets: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Windows of the conversations in turns(conv_id, turn, role, text): conv_id, window, text,
-    n_tokens, n_repeated (turns at its start that an earlier window had), loss_start and loss_end
-    (code points of the masked-in, still escaped texts).
+def _schema(key: str, columns: list[tuple]) -> str:
+    return ", ".join([f"conv_id {key}", *[f"{name} {kind}" for name, kind, _ in columns]])
 
-    A window holds at most `budget` tokens (runs of characters that are not white space, plus four a
-    turn) unless a single turn is longer: that turn is not cut and gets a window without history. At
-    most `history` tokens are repeated. A null text or role is empty; a null conv_id is a conversation
-    of its own; a null turn comes first; rows with equal turn are ordered by role, then text, and all
-    kept. No rows give no windows; other columns are not read. A conversation's rows meet in one
-    sorted stream, of which one window is held at a time, so a huge conversation needs no more memory
-    than a small one.
-    """
-    key = dict(turns.dtypes)["conv_id"]
-    text = F.coalesce("text", F.lit(""))
-    tokens = F.size(F.split(F.trim(F.regexp_replace(text, r"[\x00-\x20]+", " ")), " ")) + _MARK_TOKENS
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), tokens.alias("tokens"))
-    spark = turns.sparkSession
-    rows = rows.repartition(n_partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["conv_id", "window", "text", "n_tokens", "n_repeated", "loss_start", "loss_end"]
-        now: _Conversation | None = None
-        for batch in batches:
-            out: list[tuple] = []
-            for conv, role, body, n in zip(batch["conv_id"], batch["role"], batch["text"], batch["tokens"]):
-                conv = None if pd.isna(conv) else conv
-                if now is None or now.conv_id != conv:
-                    if now is not None:
-                        out.append(now.flush())
-                    now = _Conversation(conv, budget, history, targets)
-                out += now.add(role, body, n)
-            yield _frame(out, names, batch["conv_id"].dtype)
-        if now is not None:
-            yield _frame([now.flush()], names, None)
-
-    return rows.mapInPandas(windows, WINDOWS.format(key=key))
-
-
-def _frame(rows: list[tuple], names: list[str], kind: object) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    if out["conv_id"].isna().any():
-        out["conv_id"] = out["conv_id"].astype("object").where(out["conv_id"].notna(), None)
-        if all(isinstance(x, (int, float)) or x is None for x in out["conv_id"]):
-            out["conv_id"] = out["conv_id"].astype("Int64")
-    return out
 
+def _batch(rows: list[tuple], key: pa.DataType, columns: list[tuple]) -> pa.RecordBatch:
+    """Rows with their conv_id first. Values never pass through floats, so ids come out as they came in."""
+    values = list(zip(*rows)) if rows else [()] * (1 + len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [key, *[c[2] for c in columns]])], ["conv_id", *[c[0] for c in columns]])
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """Digests of conversations, read from their windows alone: n_turns, turns_sha256 (role, newline,
-    text, newline a turn, repeated turns once), loss_chars and loss_sha256 (unescaped texts under the
-    loss mask), formatted_chars.
 
-    Takes what format_chat returns, whose partitions hold whole conversations in order."""
-    key = dict(windows.dtypes)["conv_id"]
+def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    return df.select(column).limit(0).toArrow().schema.field(0).type
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
-        conv: object = None
-        state: list | None = None
 
-        def done() -> tuple:
-            n, turns, chars, loss, formatted, count = state
-            return (conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, count)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterator[tuple]]]:
+    """(conv_id, its rows without it, one by one) of batches whose rows are sorted by conv_id."""
+    rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+    for conv, run in itertools.groupby(rows, operator.itemgetter(0)):
+        yield conv, (row[1:] for row in run)
 
+
+def _together(rows: DataFrame, *order: str) -> DataFrame:
+    """Each conversation in one partition, in order."""
+    return rows.repartition(n_partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", *order)
+
+
+def _counted(rows: DataFrame, path: str | None) -> DataFrame:
+    """rows (conv_id, turn, role, text) with tokens: what each text and the marks around it take."""
+    if path is None:
+        words = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x00-\x20]+", " ")), " "))
+        return rows.withColumn("tokens", words + _MARK_TOKENS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = tokenizer(path).ids
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.window == 0:
-                    if state is not None:
-                        out.append(done())
-                    conv, state = None if pd.isna(row.conv_id) else row.conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                for role, text in parse(row.text)[row.n_repeated :]:
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                for a, b in zip(row.loss_start, row.loss_end):
-                    target = unescape(row.text[a:b])
-                    state[2] += len(target)
-                    state[3].update(target.encode())
-                state[4] += len(row.text)
-                state[5] += 1
-            yield _frame(out, names, None)
-        if state is not None:
-            yield _frame([done()], names, None)
-
-    return windows.mapInPandas(digests, f"conv_id {key}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+            n = [len(ids(text)) // 4 + _MARK_TOKENS for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32())], [*batch.schema.names, "tokens"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(count, ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", tokens int")
+
+
+def format_chat(turns: DataFrame, budget: int = 1024, history: int = 192, targets: tuple[str, ...] = ("assistant",), tokenizer_path: str | None = None) -> DataFrame:
+    """Windows of the conversations in turns(conv_id, turn, role, text): conv_id, window, text,
+    n_tokens, n_repeated (turns at its start that an earlier window had), loss_start and loss_end
+    (code points of the masked-in, still escaped texts).
+
+    A window holds at most `budget` tokens (ids of the tokenizer file, or without one runs of characters
+    that are not white space; plus four a turn) unless a single turn is longer: that turn is not cut and
+    gets a window without history. At most `history` tokens are repeated. A null text or role is empty; a
+    null conv_id is a conversation of its own; a null turn comes first; rows with equal turn are ordered
+    by role, then text, and all kept. No rows give no windows; other columns are not read. A
+    conversation's rows meet in one sorted stream, of which one window is held at a time, so a huge
+    conversation needs no more memory than a small one.
+    """
+    key, kind = dict(turns.dtypes)["conv_id"], _arrow_type(turns, "conv_id")
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = _together(_counted(rows, tokenizer_path), "turn", "role", "text").select("conv_id", "role", "text", "tokens")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        chars = 0
+        for conv, turns in _runs(batches):
+            now = _Conversation(conv, budget, history, targets)
+            for turn in turns:
+                for window in now.add(*turn):
+                    out.append(window)
+                    chars += len(window[2])
+                if chars >= _BATCH_CHARS:
+                    yield _batch(out, kind, WINDOWS)
+                    out, chars = [], 0
+            out.append(now.flush())
+            chars += len(out[-1][2])
+        yield _batch(out, kind, WINDOWS)
+
+    return rows.mapInArrow(windows, _schema(key, WINDOWS))
+
+
+def read_back(windows: DataFrame) -> DataFrame:
+    """Digests of conversations, read from their windows alone: conv_id, n_turns, turns_sha256 (role,
+    newline, text, newline a turn, repeated turns once), loss_chars and loss_sha256 (unescaped texts
+    under the loss mask), formatted_chars and n_windows.
+
+    Takes what format_chat returns, stored or not and in any order: the windows of a conversation meet
+    by its id and are read by their number. A null conv_id is a conversation of its own; empty texts
+    count as turns; no rows give no rows; other columns are not read. A digest is one stream by nature,
+    so a conversation is read by one task, a window at a time."""
+    key, kind = dict(windows.dtypes)["conv_id"], _arrow_type(windows, "conv_id")
+    rows = _together(windows.select("conv_id", "window", "text", "n_repeated", "loss_start", "loss_end"), "window")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for conv, held in _runs(batches):
+            n, chars, formatted, count, turns, loss = 0, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+            for _, text, repeated, starts, ends in held:
+                for role, said in parse(text)[repeated:]:
+                    n += 1
+                    turns.update(f"{role}\n{said}\n".encode())
+                for a, b in zip(starts, ends):
+                    target = unescape(text[a:b])
+                    chars += len(target)
+                    loss.update(target.encode())
+                formatted += len(text)
+                count += 1
+            out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, count))
+            if len(out) >= 1024:
+                yield _batch(out, kind, DIGESTS)
+                out = []
+        yield _batch(out, kind, DIGESTS)
+
+    return rows.mapInArrow(digests, _schema(key, DIGESTS))

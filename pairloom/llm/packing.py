@@ -8,6 +8,7 @@ what is passed on meets in eight times fewer partitions and is packed again, unt
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -26,6 +27,19 @@ FAN_IN = 8
 PIECES_A_PARTITION = 100_000
 CACHED_WORDS = 800_000
 
+# What the quick way below stands for: a tokenizer file that says anything else is used as it is.
+_PLAIN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+}
 # Characters for which the plain pattern below finds the same words as the tokenizer's own pattern.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xc0-ɏ]")
 _WORDS = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s0-9a-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+")
@@ -34,14 +48,19 @@ _WORDS = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)
 class WordTokenizer:
     """Ids of texts by a tokenizer file whose words are independent of each other (lower case, split
     at white space): each word is encoded once and remembered. Texts with other characters or with
-    special tokens go through the tokenizer as a whole; the ids are the same either way."""
+    special tokens go through the tokenizer as a whole; the ids are the same either way. A file whose
+    normalizer or pre-tokenizer is another (see _PLAIN) is always used as a whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        self.plain = all(said.get(k) == v for k, v in _PLAIN.items()) and said["model"]["type"] == "BPE" and not said["model"].get("dropout")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain &= all("<|" in t for t in self.special)
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = _Known(self.word)
         self.visible = _visible_bytes()
@@ -56,7 +75,7 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if "<|" in text and any(s in text for s in self.special):
+        if not self.plain or "<|" in text and any(s in text for s in self.special):
             return self.whole(text)
         low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
         if _OTHER.search(low):

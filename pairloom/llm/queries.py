@@ -23,7 +23,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
-    return chat.read_back(chat.format_chat(turns.unionByName(extra)))
+    return chat.read_back(chat.format_chat(turns.unionByName(extra), tokenizer_path=tokenizer_path()))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,22 @@ def test_ids_equal_the_tokenizers(path, sf_dir):
         assert quick.ids(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:80]
 
 
+def test_other_tokenizer_files_are_used_as_they_are(path, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    said = json.load(open(path))
+    assert packing.WordTokenizer(path).plain
+    said["normalizer"]["normalizers"].pop()  # keeps upper case
+    other = str(tmp_path / "other.json")
+    with open(other, "w") as f:
+        json.dump(said, f)
+    plain, quick = Tokenizer.from_file(other), packing.WordTokenizer(other)
+    for t in ["Upper AND lower don't", "1234 é"]:
+        assert not quick.plain and quick.ids(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_best_fit_and_bounds(lengths):

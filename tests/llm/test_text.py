@@ -46,6 +46,44 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
 
 
+def test_large_ids_beside_nulls_and_stored_windows(spark, tmp_path):
+    big = 2**53
+    rows = [(c, t, ("user", "assistant")[t % 2], f"turn {t} of {c}") for c in (big + 1, big + 2, big + 3, None, -7) for t in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat.format_chat(df, budget=40, history=12)
+    windows.repartition(7, "text").write.parquet(str(tmp_path / "w"))
+    stored = spark.read.parquet(str(tmp_path / "w"))
+    assert stored.groupBy("conv_id").count().where("count > 1").count() == 5
+    for source in (windows, stored, stored.orderBy(F.desc("window"))):
+        got = {r["conv_id"]: r for r in chat.read_back(source).collect()}
+        assert set(got) == {big + 1, big + 2, big + 3, None, -7}
+        assert all(r["n_turns"] == 12 and r["turns_sha256"] == hashlib.sha256("".join(f"{('user', 'assistant')[t % 2]}\nturn {t} of {c}\n" for t in range(12)).encode()).hexdigest() for c, r in got.items())
+    words = spark.createDataFrame([("a", 0, "user", "x"), (None, 0, "user", "y")], "conv_id string, turn long, role string, text string")
+    assert {r["conv_id"] for r in chat.read_back(chat.format_chat(words)).collect()} == {"a", None}
+
+
+def test_tokens_of_a_tokenizer(spark):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    texts = ["Hello there, friend!", "", "ünïcödé 1234", "a " * 50]
+    df = spark.createDataFrame([(1, t, "user", x) for t, x in enumerate(texts)] + [(2, 0, "user", LONG), (2, 1, "assistant", "short")], "conv_id int, turn int, role string, text string")
+    windows = chat.format_chat(df, budget=10_000, tokenizer_path=path).collect()
+    count = lambda t: len(plain.encode(t, add_special_tokens=False).ids) + 4
+    assert {(r["conv_id"], r["window"]): r["n_tokens"] for r in windows} == {(1, 0): sum(map(count, texts)), (2, 0): count(LONG), (2, 1): count("short")}
+
+
+def test_one_long_conversation(spark):
+    n = 30_000
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    windows = chat.format_chat(df, budget=300, history=60)
+    assert windows.agg(F.max("n_tokens")).first()[0] <= 300 and windows.count() > 300
+    got = chat.read_back(windows).collect()
+    loss = "".join(f"text {i}" for i in range(1, n, 2))
+    assert len(got) == 1 and got[0]["n_turns"] == n and got[0]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
 # ---- personal data
 
 
