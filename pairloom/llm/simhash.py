@@ -87,8 +87,8 @@ LANES = 4
 #: Share of the wide fingerprints' bits that candidates agree in, for texts of SMALL distinct shingles or
 #: more and for shorter ones. Pairs of Jaccard 0.8 agree in 0.85 (0.81) on average, deviation 0.02.
 AGREEMENT, AGREEMENT_SMALL, SMALL = 0.7, 0.62, 32
-#: Texts and shingles of a block.
-BLOCK, BLOCK_SHINGLES = 8192, 1 << 21
+#: Texts and shingles of a block at most, and texts that are never cut into blocks.
+BLOCK, BLOCK_SHINGLES, FEW = 8192, 1 << 21, 64
 #: Texts that are looked at for frequent shingles, the share that makes one, and how many there can be.
 LOOKED_AT, FREQUENT_SHARE, FREQUENT = 4096, 1 / 256, 1 << 16
 
@@ -230,17 +230,20 @@ def _confirm(similarity: float):
     return run
 
 
-def _in_blocks(members: DataFrame, by: str, weight: str | None = None) -> DataFrame:
-    """id and group of texts (id, by and, if given, weight): the texts of one `by` are cut into blocks by
-    hash, and every two of these are a group."""
-    most = F.count(F.lit(1)) / BLOCK
-    if weight:
-        most = F.greatest(most, F.sum(weight) / BLOCK_SHINGLES)
-    sizes = members.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.ceil(most).cast("int").alias("blocks")).where("n > 1").select(by, "blocks")
+def _in_groups(members: DataFrame, by: str, weight: str | None = None) -> DataFrame:
+    """id and group of texts (id, by and, if given, weight): those of one `by` meet. Of those with up to
+    FEW texts each different set is one group. Larger ones are cut into blocks by hash, more of them the
+    more texts there are, and every two blocks are a group."""
+    n = F.count(F.lit(1))
+    least = [n / BLOCK, F.sqrt(n / FEW), *([F.sum(weight) / BLOCK_SHINGLES] if weight else [])]
+    sizes = members.groupBy(by).agg(F.ceil(F.greatest(*least)).cast("int").alias("blocks"), n.alias("n")).where("n > 1").select(by, "blocks")
+    members = written(members.select(by, "id").join(sizes, by), "members")
+    few = members.where("blocks = 1").groupBy(by).agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
+    few = few.select(F.explode("ids").alias("id"), F.xxhash64("ids").alias("group"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = members.join(sizes, by).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = members.where("blocks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64(by, F.least("own", "other"), F.greatest("own", "other"))
-    return members.select("id", group.alias("group")).distinct()
+    return few.unionByName(many.select("id", group.alias("group")).distinct())
 
 
 def _shingles(texts: DataFrame, k: int) -> DataFrame:
@@ -268,9 +271,9 @@ def near_duplicate_texts(texts: DataFrame, bodies: DataFrame, k: int = 5, simila
     Of these the pairs whose wide fingerprints agree go on, and the shingles of texts with a candidate go
     once to those they are connected with, which are compared exactly. Takes describe() with one row a
     text and an id each, written to a table, and tid, key and text of the documents. Texts without
-    shingles have no near-duplicates; no rows give no rows. Groups over BLOCK texts or BLOCK_SHINGLES
-    shingles are cut into blocks by hash of which every two meet in a task of their own: no group is
-    capped and none is whole in one task."""
+    shingles have no near-duplicates; no rows give no rows. Groups over FEW texts or BLOCK_SHINGLES
+    shingles are cut into blocks by hash of which every two meet on their own: no group is capped and
+    none is whole in one task."""
     spark = texts.sparkSession
     points = written(texts.where("size > 0").select("fp").distinct(), "points")
     roots = written(components(links(points, radius)), "fingerprint-roots")
@@ -280,10 +283,10 @@ def near_duplicate_texts(texts: DataFrame, bodies: DataFrame, k: int = 5, simila
     def grouped(rows: DataFrame) -> DataFrame:
         return rows.repartition(n_partitions(spark), "group").sortWithinPartitions("group")
 
-    members = _in_blocks(keyed, "by").join(texts.select("id", "size", "print"), "id").select("group", "id", "size", "print")
+    members = _in_groups(keyed, "by").join(texts.select("id", "size", "print"), "id").select("group", "id", "size", "print")
     near = components(grouped(members).mapInArrow(_compare(similarity), "a long, b long"))
     near = written(near.join(texts, near["node"] == texts["id"]).select("id", "tid", "key", "size", "print", "root"), "candidates")
-    groups = _in_blocks(near.select("id", "size", "root"), "root", "size").groupBy("id").agg(F.collect_list("group").alias("groups"))
+    groups = _in_groups(near.select("id", "size", "root"), "root", "size").groupBy("id").agg(F.collect_list("group").alias("groups"))
     near = near.join(groups, "id").withColumnsRenamed({"tid": "__tid", "key": "__key"})
     wanted = bodies.join(near, (F.col("tid") == F.col("__tid")) & F.col("key").eqNullSafe(F.col("__key")))
     return components(grouped(_shingles(wanted, k)).mapInArrow(_confirm(similarity), "a long, b long"))
