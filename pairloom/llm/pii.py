@@ -11,10 +11,11 @@ whose number does not grow with the documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .common import quoted
 
 # Exact kinds, each with the pattern whose leftmost non-overlapping matches count. Possessive
 # quantifiers and the look-behinds change no match: they only keep long runs from being tried at
@@ -42,19 +43,47 @@ EXTRA = {
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "number": r"(?<![0-9])[0-9]{13,19}(?![0-9])",
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)[.]? [A-ZÀ-Ý][a-zß-ÿ]+(?: [A-ZÀ-Ý][a-zß-ÿ]+)?",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{24,}+",
 }
-_EXTRA_NEEDS = {"mail_words": "text like '%at%dot%'", "phone_local": r"text rlike '[0-9]{3}[ .-][0-9]{4}'", "account": "text rlike '[A-Z]{2}[0-9]{2}[A-Z0-9]{11}'", "number": "text rlike '[0-9]{13}'", "name": "text rlike '(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)[.]? [A-ZÀ-Ý]'"}
+_EXTRA_NEEDS = {"mail_words": "text like '%at%dot%'", "phone_local": r"text rlike '[0-9]{3}[ .-][0-9]{4}'", "account": "text rlike '[A-Z]{2}[0-9]{2}[A-Z0-9]{11}'", "number": "text rlike '[0-9]{13}'", "name": "text rlike '(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)[.]? [A-ZÀ-Ý]'", "secret": "text rlike '[A-Za-z0-9_/+-]{24}'"}
 KINDS = [*BASE, *EXTRA]
-# Gazetteers.
-_ENDINGS = "(?i)(?:com|org|net|edu|gov|info|io|de|es|fr|uk|eu|it|nl)$"
-_CODES = "^[+](?:1|20|27|3[0-469]|4[0134-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
-_COUNTRIES = "^(?:AT|BE|CH|DE|DK|ES|FR|GB|IE|IT|NL|PL|PT|SE)"
-_SAID = "(?i)(?:mail|contact|write|tel|phone|call|fax|mobile|card|visa|payment|account|iban|address|host|server|client|correo|tarjeta|carte|konto|karte|adresse)[^a-z]{0,4}$"
-_CODE = "(?i)(?:token|secret|key|hash|version|id|=|#|:|\")[ =:\"#]*$"
+# Gazetteers, fixed values: endings of hosts, calling codes, countries with account numbers and first
+# digits of card issuers, given names, names of fields that hold secrets, words before personal data.
+GAZETTEERS = {
+    "endings": "com org net edu gov info io de es fr uk eu it nl at ch be pt pl se dk".split(),
+    "calling": "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split(),
+    "countries": "AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IT LT LU LV NL NO PL PT RO SE SI SK".split(),
+    "issuers": "3 4 5 6".split(),
+    "given": "anna ana antonio carlos charles christian claire claudia daniel david elena elizabeth emma francisco hans james jean jennifer john jose juan julia karl laura lucia manuel maria marie mark martin mary michael nicolas paul peter pierre robert sarah sofia sophie stefan susan thomas william wolfgang".split(),
+    "fields": "token secret key apikey api_key api-key access_key access_token auth auth_token authorization bearer client_secret credential passwd password private_key pwd secret_key".split(),
+    "said": "mail contact write tel telephone phone call fax mobile card visa payment account iban address host server client correo tarjeta carte konto karte adresse".split(),
+    "code": "token secret key hash version id commit sha build".split(),
+}
+GAZETTEER_ENTRIES = 10_000
 
 LABELERS = 5
+SHAPES, SHAPE_VALUES = 3, 4
 _EM_ROUNDS, _FIT_ROUNDS, _RATE = 20, 80, 1.0
-FEATURES = 3 * LABELERS + len(KINDS) + 1
+FEATURES = 3 * LABELERS + SHAPES * SHAPE_VALUES + len(KINDS) + 1
+
+
+def gazetteer_table(spark: SparkSession) -> DataFrame:
+    """The gazetteers that come with the library, as list and entry."""
+    return spark.createDataFrame([(name, entry) for name, entries in GAZETTEERS.items() for entry in entries], "list string, entry string")
+
+
+def _lists(gazetteers: DataFrame | None) -> dict[str, list[str]]:
+    """Entries by list: the library's, and over them those of a table (list, entry) of at most
+    GAZETTEER_ENTRIES rows; a larger one is an error."""
+    if gazetteers is None:
+        return GAZETTEERS
+    rows = gazetteers.where("list is not null and entry is not null").select("list", "entry").distinct().limit(GAZETTEER_ENTRIES + 1).collect()
+    if len(rows) > GAZETTEER_ENTRIES:
+        raise ValueError(f"gazetteers hold more than {GAZETTEER_ENTRIES} entries")
+    given: dict[str, list[str]] = {}
+    for name, entry in sorted(rows):
+        given.setdefault(name, []).append(entry)
+    return GAZETTEERS | given
 
 
 def _found(kind: str, pattern: str, needs: str, valid: str) -> Column:
@@ -73,29 +102,52 @@ def _found(kind: str, pattern: str, needs: str, valid: str) -> Column:
     return F.expr(found).alias(kind)
 
 
-def _votes(kind: str) -> str:
+def _votes(kind: str, lists: dict[str, list[str]]) -> str:
     """The labelers' votes on a span c, 1 for, -1 against, 0 for no opinion, in this order: regex shape,
     gazetteer, words before it, what it touches, variety of its digits."""
-    shape = "1" if kind in BASE else {"number": "-1"}.get(kind, "0")
+
+    def listed(value: str, name: str, otherwise: int = -1) -> str:
+        entries = ", ".join("'" + e.replace("\\", "\\\\").replace("'", "\\'") + "'" for e in lists[name])
+        return f"if(array_contains(cast(array({entries}) as array<string>), {value}), 1, {otherwise})"
+
+    after = "regexp_extract(c.l, '([A-Za-z_-]+)[\"\\']?[^A-Za-z0-9]{0,4}$', 1)"
+    ending = "lower(regexp_extract(c.m, '([A-Za-z0-9-]+)$', 1))"
+    digits = "regexp_replace(c.m, '[^0-9]', '')"
+    calling = " or ".join(f"array_contains(array({', '.join(repr(e) for e in lists['calling'])}), left({digits}, {n}))" for n in (1, 2, 3))
+    shape = "1" if kind in BASE else {"number": "-1", "secret": "if(c.m rlike '^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$' or (c.m rlike '[a-z]' and c.m rlike '[A-Z]' and c.m rlike '[0-9]'), 1, -1)"}.get(kind, "0")
     gazetteer = {
-        "email": f"if(c.m rlike '{_ENDINGS}', 1, -1)", "ip": "if(c.m rlike '^(?:0|255)[.]', -1, 1)", "card": "if(c.m rlike '^[3-6]', 1, -1)", "phone": f"if(c.m rlike '{_CODES}', 1, -1)",
-        "mail_words": f"if(c.m rlike '{_ENDINGS}', 1, -1)", "phone_local": "if(c.m rlike '^[(]?[2-9]', 1, -1)", "account": f"if(c.m rlike '{_COUNTRIES}', 1, -1)", "number": "if(c.m rlike '^[3-6]', 0, -1)", "name": "1",
+        "email": listed(ending, "endings"), "ip": "if(c.m rlike '^(?:0|255)[.]', -1, 1)", "card": listed(f"left({digits}, 1)", "issuers"), "phone": f"if({calling}, 1, -1)",
+        "mail_words": listed(ending, "endings"), "phone_local": "if(c.m rlike '^[(]?[2-9]', 1, -1)", "account": listed("left(c.m, 2)", "countries"),
+        "number": listed(f"left({digits}, 1)", "issuers").replace("1, -1)", "0, -1)"), "name": listed("lower(regexp_extract(c.m, ' ([^ ]+)', 1))", "given", 0), "secret": listed(f"lower({after})", "fields"),
     }[kind]
-    said = f"case when c.l rlike '{_SAID}' then 1 when c.l rlike '{_CODE}' then -1 else 0 end"
-    touch = "if(c.l rlike '[A-Za-z0-9_=]$' or c.r rlike '[A-Za-z0-9_=@]', -1, 1)"
-    digits = "array_distinct(split(regexp_replace(c.m, '[^0-9]', ''), ''))"
-    variety = f"case when c.m not rlike '[0-9]' then 0 when size({digits}) >= 4 then 1 when size({digits}) <= 2 then -1 else 0 end"
+    if kind == "secret":
+        said, touch = "if(c.l rlike '[=:][ ]*[\"\\']?$', 1, -1)", "if(c.l rlike '[A-Za-z0-9_]$' or c.r rlike '[A-Za-z0-9_=@]', -1, 1)"
+    else:
+        said = f"case when {listed(f'lower({after})', 'said')} = 1 then 1 when {listed(f'lower({after})', 'code')} = 1 or c.l rlike '[=#:\"] *$' then -1 else 0 end"
+        touch = "if(c.l rlike '[A-Za-z0-9_=]$' or c.r rlike '[A-Za-z0-9_=@]', -1, 1)"
+    distinct = f"size(array_distinct(split({digits}, '')))"
+    variety = f"case when c.m not rlike '[0-9]' then 0 when {distinct} >= 4 then 1 when {distinct} <= 2 then -1 else 0 end"
     return f"array({shape}, {gazetteer}, {said}, {touch}, {variety})"
 
 
-def candidates(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+def _shape(c: str = "c") -> str:
+    """What the classifier sees of a span besides the votes, SHAPES numbers below SHAPE_VALUES: length,
+    share of digits, and what stands before it."""
+    length = f"case when length({c}.m) < 12 then 0 when length({c}.m) < 20 then 1 when length({c}.m) < 32 then 2 else 3 end"
+    digits = f"least(3, cast(floor(4 * length(regexp_replace({c}.m, '[^0-9]', '')) / greatest(1, length({c}.m))) as int))"
+    before = f"case when {c}.l = '' or {c}.l rlike '[ \\n\\t]$' then 0 when {c}.l rlike '[=:\"\\']$' then 1 when {c}.l rlike '[A-Za-z0-9]$' then 2 else 3 end"
+    return f"array({length}, {digits}, {before})"
+
+
+def candidates(docs: DataFrame, keep: list[str], text: str = "text", gazetteers: DataFrame | None = None) -> DataFrame:
     """row (a struct of the keep columns), base (spans of the exact kinds) and extra (spans for the
-    classifier to decide), each an array of struct(kind, s, e, votes). A null text is empty.
+    classifier to decide), each an array of struct(kind, s, e, votes, shape). A null text is empty.
 
     An extra span that overlaps a base span is none: it is settled."""
-    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    lists = _lists(gazetteers)
+    rows = docs.select(F.struct(*map(quoted, keep)).alias("row"), F.coalesce(quoted(text), F.lit("")).alias("text"))
     found = rows.select("row", *[_found(k, p, _NEEDS[k], _VALID[k]) for k, p in BASE.items()], *[_found(k, p, _EXTRA_NEEDS[k], "true") for k, p in EXTRA.items()])
-    voted = {k: f"transform({k}, c -> struct({i} as kind, c.s as s, c.e as e, {_votes(k)} as votes))" for i, k in enumerate(KINDS)}
+    voted = {k: f"transform({k}, c -> struct({i} as kind, c.s as s, c.e as e, {_votes(k, lists)} as votes, {_shape()} as shape))" for i, k in enumerate(KINDS)}
     base = "concat(" + ", ".join(voted[k] for k in BASE) + ")"
     extra = "concat(" + ", ".join(voted[k] for k in EXTRA) + ")"
     out = found.select("row", F.expr(base).alias("base"), F.expr(extra).alias("extra"))
@@ -109,21 +161,22 @@ def _posterior(s: str, votes: str) -> str:
     return f"(1D / (1D + exp(least(30D, ln(1D - {s}.prior) - ln({s}.prior) + {logs['no']} - {logs['yes']}))))"
 
 
-def _features(kind: str, votes: str) -> str:
-    """One-hot votes and kind, and a constant."""
+def _features(kind: str, votes: str, shape: str) -> str:
+    """One-hot votes, shape and kind, and a constant."""
     hot = f"flatten(transform({votes}, v -> transform(array(-1, 0, 1), k -> if(v = k, 1D, 0D))))"
-    return f"concat({hot}, transform(sequence(0, {len(KINDS) - 1}), k -> if({kind} = k, 1D, 0D)), array(1D))"
+    form = f"flatten(transform({shape}, v -> transform(sequence(0, {SHAPE_VALUES - 1}), k -> if(v = k, 1D, 0D))))"
+    return f"concat({hot}, {form}, transform(sequence(0, {len(KINDS) - 1}), k -> if({kind} = k, 1D, 0D)), array(1D))"
 
 
 def train(found: DataFrame) -> list[float]:
     """Weights of the span classifier from the spans of candidates(): the EM's soft labels of all of
-    them, fitted by gradient steps over the counts of each kind and vote pattern (at most kinds x 3 to
-    the number of labelers). Without spans all weights are 0."""
-    spans = found.select(F.explode(F.concat("base", "extra")).alias("c")).select("c.kind", "c.votes")
-    counts = spans.groupBy("kind", "votes").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    one = counts.agg(F.array_sort(F.collect_list(F.struct("kind", "votes", "n"))).alias("pats"))
+    them, fitted by gradient steps over the counts of each kind, vote pattern and shape (at most kinds x 3 to
+    the number of labelers x the shapes, whatever the documents). Without spans all weights are 0."""
+    spans = found.select(F.explode(F.concat("base", "extra")).alias("c")).select("c.kind", "c.votes", "c.shape")
+    counts = spans.groupBy("kind", "votes", "shape").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    one = counts.agg(F.array_sort(F.collect_list(F.struct("kind", "votes", "shape", "n"))).alias("pats"))
     fitted = one.select("pats", F.expr(reliabilities()).alias("s")).selectExpr(
-        "s", f"transform(pats, p -> struct({_features('p.kind', 'p.votes')} as x, p.n as n, {_posterior('s', 'p.votes')} as q)) as rows", "greatest(1D, aggregate(pats, 0D, (t, p) -> t + p.n)) as total"
+        "s", f"transform(pats, p -> struct({_features('p.kind', 'p.votes', 'p.shape')} as x, p.n as n, {_posterior('s', 'p.votes')} as q)) as rows", "greatest(1D, aggregate(pats, 0D, (t, p) -> t + p.n)) as total"
     )
     miss = "transform(rows, r -> struct(r.x as x, r.n * (1D / (1D + exp(-aggregate(zip_with(r.x, w, (a, b) -> a * b), 0D, (t, v) -> t + v))) - r.q) as g))"
     step = f"transform(array({miss}), d -> transform(w, (v, j) -> v - {_RATE}D * (aggregate(d, 0D, (t, r) -> t + r.g * r.x[j]) / total + 0.0001D * v)))[0]"
@@ -148,7 +201,7 @@ def reliabilities() -> str:
 def decide(found: DataFrame, weights: list[float], at_least: float = 0.5) -> DataFrame:
     """found with spans: base and accepted extra spans by kind as listed, then place."""
     w = "array(" + ", ".join(f"{x!r}D" for x in weights) + ")"
-    chance = f"1D / (1D + exp(-aggregate(zip_with({_features('c.kind', 'c.votes')}, {w}, (a, b) -> a * b), 0D, (t, v) -> t + v)))"
+    chance = f"1D / (1D + exp(-aggregate(zip_with({_features('c.kind', 'c.votes', 'c.shape')}, {w}, (a, b) -> a * b), 0D, (t, v) -> t + v)))"
     accepted = f"if(size(extra) = 0, extra, filter(extra, c -> {chance} >= {at_least}D))"
     return found.withColumn("spans", F.expr(f"concat(base, {accepted})"))
 
@@ -159,29 +212,32 @@ def joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, c -> concat_ws(':', {names}[c.kind], cast(c.s as string), cast(c.e as string))), ',')")
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, base and spans (arrays of kind, s, e, votes) of every row's whole text.
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", gazetteers: DataFrame | None = None) -> DataFrame:
+    """key, base and spans (arrays of kind, s, e, votes, shape) of every row's whole text. Gazetteers are
+    a table (list, entry) whose lists stand for the library's of that name.
 
     Places are code points, ends exclusive. A null or empty text has no spans; repeated rows and null
     keys are rows like any other; no rows give no rows; other columns are not read."""
-    found = written(candidates(docs, [key], text), "spans")
-    return decide(found, train(found)).select(F.col("row")[key].alias(key), "base", "spans")
+    found = written(candidates(docs, [key], text, gazetteers), "spans")
+    return decide(found, train(found)).select(F.col("row").getField(key).alias(key), "base", "spans")
 
 
-def redact(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", chars: str = "n_chars", gazetteers: DataFrame | None = None) -> DataFrame:
     """docs, all columns, with each span's text replaced by its kind in brackets and chars, if there is
     such a column, counted anew. Overlapping spans become one, named after the first; a null text stays
-    null."""
-    found = written(candidates(docs, docs.columns, text), "spans")
+    null, an empty one empty; repeated rows are rows like any other, columns may have any names and
+    types; no rows give no rows."""
+    found = written(candidates(docs, docs.columns, text, gazetteers), "spans")
     marked = decide(found, train(found))
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     order = "array_sort(transform(spans, c -> struct(c.s as s, -c.e as e, c.kind as kind)))"
-    body = f"row.`{text}`"
+    escaped = text.replace("`", "``")
+    body = f"row.`{escaped}`"
     step = f"""if(c.s < a.p, struct(greatest(a.p, -c.e) as p, a.o as o),
         struct(-c.e as p, array_append(array_append(a.o, substring({body}, a.p + 1, c.s - a.p)), {names}[c.kind]) as o))"""
     whole = f"aggregate({order}, struct(0 as p, cast(array() as array<string>) as o), (a, c) -> {step}, a -> concat(array_join(a.o, ''), substring({body}, a.p + 1)))"
     out = marked.select("row", "spans", F.expr(f"if(size(spans) = 0 or {body} is null, {body}, {whole})").alias("clean"))
-    new = {c: F.col("row")[c] for c in docs.columns} | {text: F.col("clean")}
+    new = {c: F.col("row").getField(c) for c in docs.columns} | {text: F.col("clean")}
     if chars in new:
         new[chars] = F.when(F.size("spans") > 0, F.length("clean").cast(dict(docs.dtypes)[chars])).otherwise(new[chars])
     return out.select(*[v.alias(c) for c, v in new.items()])

@@ -124,6 +124,57 @@ def test_labelers_add_spans_and_redaction(spark):
     assert clean[30]["text"] == "contact [EMAIL] tel [PHONE]" and clean[30]["n_chars"] == len(clean[30]["text"]) and clean[30]["spans"] == "mine" and clean[99]["text"] is None
 
 
+def test_secrets_of_documents_equal_brute_force(spark, sf_dir):
+    from pathlib import Path
+
+    larger = Path(sf_dir).parent / "sf0.01"
+    docs = spark.read.parquet(f"{larger if larger.exists() else sf_dir}/documents.parquet").select("doc_id", "text")
+    want = {(i, m.start(), m.end()) for i, t in docs.collect() for m in re.finditer(r'(?<=token = ")[0-9a-f]{40}(?=")', t or "")}
+    got = pii.find(docs).select("doc_id", F.explode(F.expr("filter(spans, c -> c.kind >= 4)")).alias("c")).select("doc_id", "c.kind", "c.s", "c.e").collect()
+    assert len(want) > 5 and {pii.KINDS[r["kind"]] for r in got} == {"secret"} and {(r["doc_id"], r["s"], r["e"]) for r in got} == want
+    clean = pii.redact(docs.withColumn("n_chars", F.length("text")))
+    assert clean.where("text like '%token = \"[SECRET]\"%'").count() > 5 and clean.where("text rlike '[0-9a-f]{40}'").count() == 0
+
+
+def test_em_finds_how_reliable_labelers_are(spark):
+    r = np.random.default_rng(12)
+    prior = 0.4
+    yes = np.array([[0.05, 0.05, 0.9], [0.1, 0.3, 0.6], [0.2, 0.2, 0.6], [0.02, 0.08, 0.9], [0.3, 0.1, 0.6]])
+    no = np.array([[0.9, 0.05, 0.05], [0.7, 0.2, 0.1], [0.5, 0.4, 0.1], [0.6, 0.3, 0.1], [0.6, 0.3, 0.1]])
+    votes = collections.Counter()
+    for true in r.random(20_000) < prior:
+        votes[tuple(int(r.choice(3, p=p)) - 1 for p in (yes if true else no))] += 1
+    pats = spark.createDataFrame([([(list(v), float(n)) for v, n in sorted(votes.items())],)], "pats array<struct<votes: array<int>, n: double>>")
+    got = pats.select(F.expr(pii.reliabilities()).alias("s")).first()["s"]
+    assert abs(got["prior"] - prior) < 0.03
+    assert np.abs(np.array(got["yes"]).reshape(-1, 3) - yes).max() < 0.05 and np.abs(np.array(got["no"]).reshape(-1, 3) - no).max() < 0.05
+
+
+def test_classifier_follows_the_soft_labels(spark):
+    good, bad = [1, 1, 1, 1, 1], [-1, -1, 0, -1, 0]
+    span = "struct<kind: int, s: int, e: int, votes: array<int>, shape: array<int>>"
+    rows = [([(0, 0, 1, good, [1, 0, 0])], [])] * 50 + [([], [(8, 0, 1, bad, [0, 0, 2])])] * 50 + [([], [(8, 0, 1, good, [0, 0, 0])])] * 10
+    found = spark.createDataFrame(rows, f"base array<{span}>, extra array<{span}>")
+    weights = pii.train(found)
+    assert len(weights) == pii.FEATURES
+    decided = pii.decide(found, weights).select("extra", "spans").collect()
+    assert all(len(r["spans"]) == 0 for r in decided if r["extra"] and r["extra"][0]["votes"] == bad) and all(len(r["spans"]) == 1 for r in decided if not r["extra"] or r["extra"][0]["votes"] == good)
+    assert pii.train(found.limit(0)) == [0.0] * pii.FEATURES
+
+
+def test_gazetteers_are_tables_and_columns_any(spark):
+    text = [(1, f"password_hint = 'Zx9abcdefghijklmnopqrstuv{i}'") for i in range(10)] + [(2, "mail a@b.com"), (3, None), (4, "")] + [(5, f"token = \"{'0123456789abcdef' * 3}\"")] * 10
+    docs = spark.createDataFrame(text, "`a.b` int, `my text` string").withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    clean = pii.redact(docs, "my text")
+    assert clean.columns == docs.columns and clean.where("`my text` = 'mail [EMAIL]'").count() == 1 and clean.where("`a.b` = 5 and `my text` = 'token = \"[SECRET]\"'").count() == 10
+    own = pii.gazetteer_table(spark).unionByName(spark.createDataFrame([("fields", "password_hint")], "list string, entry string"))
+    assert pii._lists(own)["fields"] == sorted([*pii.GAZETTEERS["fields"], "password_hint"])
+    hints = lambda g: pii.redact(docs, "my text", gazetteers=g).where("`a.b` = 1 and `my text` like '%[SECRET]%'").count()
+    assert hints(own) == 10
+    with pytest.raises(ValueError):
+        pii._lists(spark.range(pii.GAZETTEER_ENTRIES + 1).selectExpr("'x' as list", "cast(id as string) as entry"))
+
+
 # ---- decontamination
 
 
