@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from ..storage import written
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
+def _moved(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Each v to the least m of its u. The table of these is written first, so that the join has two plain
+    sides: Spark broadcasts a small one, and its skew join cuts up the edges of a node that has many."""
+    return edges.join(written(least, "least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours go to the least of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return _moved(both.where("v > u"), least).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the least of these."""
-    least = _least(edges)
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    edges = written(edges, "edges")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return _moved(edges, least).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 64) -> DataFrame:

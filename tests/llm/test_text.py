@@ -188,7 +188,7 @@ def contained(text, item, k=5):
     return len(s & d), len(s)
 
 
-def test_containment_equals_brute_force(spark):
+def test_containment_equals_brute_force(spark, monkeypatch):
     r = np.random.default_rng(7)
     words = [f"w{i}" for i in range(60)]
     items = [" ".join(r.choice(words, n)) for n in (1, 3, 5, 6, 9, 15, 30, 60)] + ["", "the quick brown fox jumps over the lazy dog while"]
@@ -203,14 +203,28 @@ def test_containment_equals_brute_force(spark):
             docs.append((100 + 10 * i + cut, " ".join([*r.choice(words, 200), *part, *r.choice(words, 50)]).upper()))
     df = spark.createDataFrame(docs, "doc_id long, text string").unionByName(documents(spark).select("doc_id", "text"))
     table = spark.createDataFrame(list(enumerate(items)) + [(77, None)], "item_id long, text string")
-    for size in (8_000_000, 40):
-        got = sorted((x["doc_id"] or -1, x["item_id"], x["n_shared"], x["n_shingles"]) for x in decontam.contained_items(df, table, block_bytes=size).collect())
+    df = df.unionByName(df.where("doc_id in (150, 151)")).unionByName(spark.createDataFrame([(199, "w1 " + docs[28][1])], "doc_id long, text string"))
+    for most in (27, 10):  # filters that let everything through change nothing
+        monkeypatch.setattr(decontam, "MOST_BITS", most)
+        got = sorted((x["doc_id"] or -1, x["item_id"], x["n_shared"], x["n_shingles"]) for x in decontam.contained_items(df, table).collect())
         want = sorted((d if d is not None else -1, i, *contained(t, item)) for d, t in df.collect() for i, item in enumerate(items) if contained(t, item)[0] >= max(1, math.ceil(0.8 * contained(t, item)[1] - 1e-9)))
         assert got == want
     dirty = {x[0] for x in got}
     kept = decontam.decontaminate(df, table)
     assert sorted(x["doc_id"] or -1 for x in kept.collect()) == sorted(x["doc_id"] or -1 for x in df.collect() if (x["doc_id"] or -1) not in dirty)
     assert decontam.contained_items(empty(spark), table).count() == 0 and decontam.contained_items(df, table.limit(0)).count() == 0
+    assert decontam.decontaminate(df, table.limit(0)).count() == df.count() and decontam.decontaminate(df.limit(0), table).count() == 0
+    odd = df.withColumns({"m": F.create_map(F.lit("k"), F.lit(1)), "digest": F.lit("own"), "key": F.lit("?"), "x.y": F.lit(2)})
+    assert decontam.decontaminate(odd, table).columns == odd.columns and decontam.decontaminate(odd, table).where("digest = 'own'").count() == kept.count()
+
+
+def test_repeated_items_and_rows_keep_their_number(spark):
+    item = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, "x " + item)] * 3 + [(2, "nothing")] * 2, "doc_id long, text string")
+    items = spark.createDataFrame([(9, item), (9, item), (None, item)], "item_id long, text string")
+    got = decontam.contained_items(docs, items).collect()
+    assert len(got) == 9 and {(r["doc_id"], r["n_shared"], r["n_shingles"]) for r in got} == {(1, 3, 3)}
+    assert decontam.decontaminate(docs, items).count() == 2
 
 
 # ---- language model
