@@ -100,12 +100,13 @@ def cmd_distribution(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def cmd_negatives(spark: SparkSession, a: argparse.Namespace) -> None:
     p = spark.read.parquet(a.positives).where("diff_cs is not null")
-    bounds = p.agg(F.min("diff_cs").cast("double").alias("lo"), F.max("diff_cs").cast("double").alias("hi"))
-    binned = lambda df: df.join(F.broadcast(bounds)).withColumn("bin", binning.width_bin(F.col("diff_cs").cast("double"), F.col("lo"), F.col("hi"), a.bins)).drop("lo", "hi").where("bin is not null")
+    lo, hi = histograms.limits(p, "diff_cs")
+    binned = lambda df: df.withColumn("bin", binning.width_bin(F.col("diff_cs").cast("double"), lo, hi, a.bins)).where("bin is not null")
     goals = written(sampling.targets(binned(p), ["bin", "mic"], a.ratio), "targets")
-    seen = binned(trials.negative_candidates(*_sides(spark, a)).withColumn("mic", F.col("test_mic_type")))
+    candidates = binned(trials.negative_candidates(*_sides(spark, a)).withColumn("mic", F.col("test_mic_type")))
     order = sampling.order_key(F.col("enroll_clip_id"), F.col("test_clip_id"), seed=a.seed)
-    tables.write_table(sampling.sample(seen, goals, ["bin", "mic"], order, ["enroll_clip_id", "test_clip_id"]), a.out, mode="overwrite")
+    drawn, seen = sampling.draw(candidates, goals, ["bin", "mic"], order, ["enroll_clip_id", "test_clip_id"])
+    tables.write_table(drawn, a.out, mode="overwrite")
     tables.write_table(sampling.report(goals, spark.read.parquet(a.out), seen, ["bin", "mic"]), a.report, mode="overwrite")
     print(tables.markdown("totals", sampling.totals(spark.read.parquet(a.report))))
 

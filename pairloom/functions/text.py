@@ -43,13 +43,13 @@ def human_size(n_bytes: Column) -> Column:
 
 
 def short_count(n: Column) -> Column:
-    """1234567 as 1.2M, 1234 as 1.2K."""
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1_000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
+    """1234567 as 1.23M, 1234 as 1K, smaller numbers as they are."""
+    return F.when(n >= 1_000_000, F.format_string("%.2fM", n / 1e6)).when(n >= 1_000, F.format_string("%.0fK", n / 1e3)).otherwise(n.cast("string"))
 
 
 def percent(part: Column, whole: Column) -> Column:
-    """Percent with two places, 0 of nothing."""
-    return F.when(whole > 0, F.round(part * 100.0 / whole, 2)).otherwise(0.0)
+    """Percent as text with one place, 'n/a' of nothing."""
+    return F.when(whole != 0, F.format_string("%.1f%%", part * 100.0 / whole)).otherwise("n/a")
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -6,26 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import durations
+from ..storage import n_partitions, written
 
 
 def path_dictionary(*columns: tuple[DataFrame, str], partitions: int | None = None) -> DataFrame:
     """path_id and path: dense ids from 0 by sorted distinct path.
 
-    Bounds from a bounded sample cut the paths into ranges; numbers inside a range are offset by the
-    counts of those before, so no task sees all paths."""
+    The distinct paths are cut into ranges and written once with the number of their range; numbers
+    inside a range are offset by the counts of those before, so no task sees all paths."""
     paths = None
     for df, c in columns:
         one = df.select(F.col(c).alias("path"))
         paths = one if paths is None else paths.unionByName(one)
-    paths = paths.where("path is not null").distinct()
-    n = partitions or int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = sorted(r[0] for r in paths.orderBy(F.xxhash64("path"), "path").limit(100 * n).collect())
-    bounds = F.array(*[F.lit(x) for x in drawn[100::100]]).cast("array<string>")
-    ranges = paths.withColumn("part", F.size(F.filter(bounds, lambda b: b <= F.col("path"))))
-    counts = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    spark = paths.sparkSession
+    paths = paths.where("path is not null").distinct().repartitionByRange(partitions or n_partitions(spark), "path")
+    ranges = written(paths.withColumn("part", F.spark_partition_id()), "paths")
+    offsets, before = [], 0
+    for part, n in sorted(tuple(r) for r in ranges.groupBy("part").agg(F.count(F.lit(1))).collect()):  # a row a range
+        offsets.append((part, before))
+        before += n
     inside = F.row_number().over(Window.partitionBy("part").orderBy("path"))
-    return ranges.withColumn("rank", inside).join(F.broadcast(offsets), "part").select((F.col("offset") + F.col("rank") - 1).cast("int").alias("path_id"), "path")
+    start = F.broadcast(spark.createDataFrame(offsets, "part int, offset long"))
+    return ranges.withColumn("rank", inside).join(start, "part").select((F.col("offset") + F.col("rank") - 1).cast("int").alias("path_id"), "path")
 
 
 def encode_trials(trials: DataFrame, dictionary: DataFrame, largest_cs: int | None = None) -> DataFrame:

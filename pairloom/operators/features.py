@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from ..functions import binning, vectors
 
 #: A dimension below this size may be broadcast, by its own bytes and not by a hint alone.
 BROADCAST_BYTES = 64 << 20
+#: Vectors of a padded batch of signals, given with their relative lengths.
+Model = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def dimension(df: DataFrame, bytes_a_row: int) -> DataFrame:
@@ -42,10 +48,15 @@ def with_test_mic(trials: DataFrame, clips: DataFrame, key: str, test: str) -> D
 
 
 def score_cosine(trials: DataFrame, embeddings: DataFrame, key: str, vector: str, enroll: str, test: str) -> DataFrame:
-    """trials with their cosine score; norms are computed once a clip, not once a trial."""
-    unit = embeddings.select(key, F.col(vector).cast("array<double>").alias("v"), vectors.norm(F.col(vector)).alias("norm"))
-    out = attach(trials, unit, ["v", "norm"], key, enroll, test, bytes_a_row=2048)
-    return out.withColumn("score", vectors.cosine(F.col("enroll_v"), F.col("test_v"), F.col("enroll_norm"), F.col("test_norm"))).drop("enroll_v", "test_v", "enroll_norm", "test_norm")
+    """trials with their cosine score, null where a vector is missing or has no length. Norms are
+    computed once a clip, not once a trial, and dot products batch by batch. Whether the vectors may be
+    broadcast is decided by their own size."""
+    unit = embeddings.select(key, F.col(vector).alias("v"), vectors.norm(F.col(vector)).alias("norm"))
+    longest = embeddings.agg(F.max(F.size(vector))).first()[0] or 0
+    out = attach(trials, unit, ["v", "norm"], key, enroll, test, bytes_a_row=64 + 8 * longest)
+    scale = F.col("enroll_norm") * F.col("test_norm")
+    dots = out.withColumn("score", F.when(scale > 0, vectors.dot_batches(F.col("enroll_v"), F.col("test_v")) / scale))
+    return dots.drop("enroll_v", "test_v", "enroll_norm", "test_norm")
 
 
 def signal_features(clips: DataFrame, signal: str, curve: list[float], *keys: str) -> DataFrame:
@@ -71,6 +82,53 @@ def length_shares(clips: DataFrame, cs: str, edges: list[int], labels: list[str]
     return known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).select("bucket", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"), "median_s")
 
 
-def predict(clips: DataFrame, model, schema: str) -> DataFrame:
-    """Apply a model in batches: model(iterator of pandas frames) yields frames of the schema."""
-    return clips.mapInPandas(model, schema)
+def predict(clips: DataFrame, load: Callable[[], Model], key: str, signal: str, items: int = 16, samples: int = 16 * 16_000 * 15) -> DataFrame:
+    """key, vector and error of each clip: a model's vectors, batch by batch.
+
+    load() makes the model once a task; model(batch, lengths) takes a matrix of signals, padded with
+    zeros to the longest, and their lengths relative to it, and returns a vector each. A batch holds at
+    most `items` clips of at most `samples` padded samples together (a longer clip is a batch). If a
+    batch fails its clips are tried one by one, so one bad clip costs itself only: it gets an error, as
+    do clips without samples. Clips should come in order of length (plan_batches) to pad little."""
+    kind = dict(clips.dtypes)[key]
+
+    def one_batch(model: Model, batch: list[np.ndarray]) -> np.ndarray:
+        longest = max(map(len, batch))
+        padded = np.zeros((len(batch), longest))
+        for row, x in zip(padded, batch):
+            row[: len(x)] = x
+        return np.asarray(model(padded, np.array([len(x) / longest for x in batch])), np.float32)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for frame in frames:
+            found: list[tuple] = []
+            keys: list = []
+            batch: list[np.ndarray] = []
+
+            def done() -> None:
+                try:
+                    found.extend((k, v.tolist(), None) for k, v in zip(keys, one_batch(model, batch)))
+                except Exception:  # noqa: BLE001  whatever a model raises; the clips are tried one by one
+                    for k, x in zip(keys, batch):
+                        try:
+                            found.append((k, one_batch(model, [x])[0].tolist(), None))
+                        except Exception as why:  # noqa: BLE001
+                            found.append((k, None, f"{type(why).__name__}: {why}"))
+                keys.clear()
+                batch.clear()
+
+            for k, x in zip(frame["key"], frame["signal"]):
+                if x is None or not len(x):
+                    found.append((k, None, "empty_file"))
+                    continue
+                if batch and (len(batch) >= items or (len(batch) + 1) * max(len(x), *map(len, batch)) > samples):
+                    done()
+                keys.append(k)
+                batch.append(np.asarray(x, np.float64))
+            if batch:
+                done()
+            yield pd.DataFrame(found, columns=["key", "vector", "error"], dtype=object)
+
+    out = clips.select(F.col(key).alias("key"), F.col(signal).alias("signal")).mapInPandas(run, f"key {kind}, vector array<float>, error string")
+    return out.withColumnRenamed("key", key)

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import binning
-from ..storage import written
+from ..storage import n_partitions, written
+from . import ranks
 
 BINS = 20_000
 MIN_TRIALS = 50
-COARSE = 4096
+KDE_VALUES = 65_536
 
 
 def _cumulative(keys: list[str], order: str, descending: bool = False) -> Window:
@@ -18,25 +19,28 @@ def _cumulative(keys: list[str], order: str, descending: bool = False) -> Window
     return Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def eer_exact(trials: DataFrame, score: str, target: str, *keys: str, coarse: int = COARSE) -> DataFrame:
+def eer_exact(trials: DataFrame, score: str, target: str, *keys: str, buckets: int | None = None) -> DataFrame:
     """keys, n_target, n_nontarget, eer and threshold of each group of scored trials (target: boolean).
 
     Scores are walked from the highest, of equal ones targets first; after each trial the false-accept
     and false-reject rates are compared, and the first step where they are nearest gives their mean.
-    Null scores take no part; a group without both kinds has null rates.
-
-    No task sees all trials of a group: they are counted by distinct score, these by coarse buckets
-    over the group's range. The counts are written once, as several steps read them. The difference of the rates only rises along the walk, so it changes sign
-    in one bucket, and only that bucket's scores are walked; inside one score the walk is two straight
-    lines, whose nearest integers are computed."""
+    Null and NaN scores take no part; a group without both kinds has null rates.
+
+    No task sees all trials of a group: they are counted by distinct score, and these are range-
+    partitioned by group and falling score, so that each range, a bucket of the walk, holds a like
+    number of scores however they lie. The counts are written once with their bucket, as several steps
+    read them. The difference of the rates only rises along the walk, so it changes sign in one bucket,
+    and only that bucket's scores are walked; inside one score the walk is two straight lines, whose
+    nearest integers are computed."""
     keys = list(keys)
-    rows = trials.where(F.col(score).isNotNull() & F.col(target).isNotNull()).select(*keys, F.col(score).cast("double").alias("s"), F.col(target).alias("t"))
-    counts = written(rows.groupBy(*keys, "s").agg(F.count_if(F.col("t")).alias("a"), F.count_if(~F.col("t")).alias("b")), "scores")
-    sums = counts.groupBy(*keys).agg(F.sum("a").alias("nt"), F.sum("b").alias("nn"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+    rows = trials.select(*keys, F.col(score).cast("double").alias("s"), F.col(target).alias("t")).where("s is not null and not isnan(s) and t is not null")
+    counts = rows.groupBy(*keys, "s").agg(F.count_if(F.col("t")).alias("a"), F.count_if(~F.col("t")).alias("b"))
+    ranged = counts.repartitionByRange(buckets or n_partitions(trials.sparkSession), *keys, F.desc("s"))
+    counts = written(ranged.withColumn("bucket", F.spark_partition_id()), "scores")
+    sums = counts.groupBy(*keys).agg(F.sum("a").alias("nt"), F.sum("b").alias("nn"))
     on = keys
     joined = counts.join(sums, on) if on else counts.join(F.broadcast(sums))
-    bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(coarse - 1), F.floor((F.col("hi") - F.col("s")) / (F.col("hi") - F.col("lo")) * coarse).cast("int"))).otherwise(0)
-    marked = joined.where("nt > 0 and nn > 0").withColumn("bucket", bucket)
+    marked = joined.where("nt > 0 and nn > 0")
     totals = marked.groupBy(*keys, "bucket", "nt", "nn").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     w = _cumulative(keys, "bucket")
     walked = totals.withColumns({"ta": F.sum("a").over(w), "tb": F.sum("b").over(w)})
@@ -79,15 +83,15 @@ def _nearest_steps() -> Column:
 
 
 def score_range(trials: DataFrame, score: str, low: float = 0.0001, high: float = 0.9999) -> DataFrame:
-    """lo and hi: two exact percentiles over all scores."""
-    return trials.where(F.col(score).isNotNull()).agg(F.percentile(F.col(score).cast("double"), F.array(F.lit(low), F.lit(high))).alias("r")).select(F.col("r")[0].alias("lo"), F.col("r")[1].alias("hi"))
+    """lo and hi, one row: two exact percentiles over all scores but null and NaN ones."""
+    return trials.sparkSession.createDataFrame([tuple(ranks.percentiles(trials, score, [low, high]))], "lo double, hi double")
 
 
 def score_histogram(trials: DataFrame, score: str, target: str, bounds: DataFrame, groupings: list[list[str]], bins: int = BINS) -> DataFrame:
     """grouping, the groupings' columns (null where not part of one), bin, hp and hn: counts of targets
     and others, for all groupings in one pass over the trials."""
     columns = list(dict.fromkeys(c for g in groupings for c in g))
-    binned = trials.where(F.col(score).isNotNull()).join(F.broadcast(bounds)).select(*columns, binning.score_bin(F.col(score), F.col("lo"), F.col("hi"), bins).alias("bin"), F.col(target).alias("t"))
+    binned = trials.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).join(F.broadcast(bounds)).select(*columns, binning.score_bin(F.col(score), F.col("lo"), F.col("hi"), bins).alias("bin"), F.col(target).alias("t"))
     # counted once at the finest level; the groupings are then sums over counts
     fine = binned.groupBy(*columns, "bin").agg(F.count_if(F.col("t")).alias("hp"), F.count_if(~F.col("t")).alias("hn"))
     out = None
@@ -156,13 +160,24 @@ def kde(df: DataFrame, x: str, points: int = 400, low: float = 0.005, high: floa
     """grid and density of a Gaussian kernel estimate, bandwidth stdev * n ** -0.2, on an even grid
     between two percentiles (or from start).
 
-    Equal values are counted first, so the product with the grid has distinct values times points rows,
-    and each task sums its part. For pictures give a sample."""
-    v = F.col(x).cast("double")
-    stats = df.agg(F.percentile(v, F.array(F.lit(low), F.lit(high))).alias("b"), F.stddev_pop(v).alias("sd"), F.count(v).alias("n"))
-    stats = stats.select(F.coalesce(F.lit(start), F.col("b")[0]).alias("lo"), F.col("b")[1].alias("hi"), F.when(F.col("sd") > 0, F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))).otherwise(1e-6).alias("h"), "n")
-    grid = stats.select("h", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points - 1))).alias("i", "grid"))
-    counted = df.where(v.isNotNull()).groupBy(v.alias("x")).agg(F.count(F.lit(1)).alias("w"))
-    z = (F.col("grid") - F.col("x")) / F.col("h")
-    summed = counted.join(F.broadcast(grid)).groupBy("i", "grid", "h", "n").agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("s"))
-    return summed.select("i", F.round("grid", 6).alias("grid"), F.round(F.col("s") / (F.col("n") * F.col("h") * 2.5066282746310002), 6).alias("density"))
+    Equal values are counted first. Up to KDE_VALUES distinct ones the estimate is exact; of more, those
+    in each KDE_VALUES-th of the range count at their mean, so work is bounded by KDE_VALUES times points
+    whatever the number of rows, and the estimate differs by less than the kernel does over such a step.
+    Each task sums its part; no rows give no grid."""
+    values = ranks.value_counts(df, x)
+    lo, hi = ranks.at(values, [low, high])
+    mean = F.sum(F.col("v") * F.col("n")) / F.sum("n")
+    n, distinct, first, last, centre = values.agg(F.sum("n"), F.count(F.lit(1)), F.min("v"), F.max("v"), mean).first()
+    spark = df.sparkSession
+    if lo is None:
+        return spark.createDataFrame([], "i int, grid double, density double")
+    sd = values.agg(F.sqrt(F.sum(F.col("n") * F.pow(F.col("v") - F.lit(centre), F.lit(2.0))) / n)).first()[0]
+    h = sd * n**-0.2 if sd > 0 else 1e-6
+    lo = lo if start is None else start
+    if distinct > KDE_VALUES:
+        step = F.floor((F.col("v") - first) / (last - first) * KDE_VALUES)
+        values = values.groupBy(step.alias("step")).agg(mean.alias("v"), F.sum("n").alias("n"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(lo) + F.lit(hi - lo) * i / (points - 1))
+    z = (F.col("grid") - F.col("v")) / h
+    summed = values.select("v", "n", F.posexplode(at).alias("i", "grid")).groupBy("i", "grid").agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("s"))
+    return summed.select("i", F.round("grid", 6).alias("grid"), F.round(F.col("s") / (n * h * 2.5066282746310002), 6).alias("density"))

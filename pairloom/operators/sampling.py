@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 MODULUS = 2_147_483_647
+SLICES = 4096
 
 
 def order_key(*ids: Column, seed: int = 42) -> Column:
@@ -22,29 +25,36 @@ def targets(positives: DataFrame, strata: list[str], ratio: int) -> DataFrame:
     return positives.groupBy(*strata).agg((F.count(F.lit(1)) * ratio).alias("target"))
 
 
-def sample(candidates: DataFrame, targets: DataFrame, strata: list[str], order: Column, ties: list[str], slack: float = 0.1, floor: int = 2_000) -> DataFrame:
-    """Exactly min(target, seen) rows of each stratum of candidates, those of least order.
-
-    order is a number in [0, MODULUS) that depends on the row alone. A first pass counts the strata;
-    rows whose order cannot be among the target ones are left out before any shuffle (a threshold with
-    slack and an absolute floor), and only the rest are ranked. A stratum that the threshold leaves
-    short is ranked whole, so the size is exact whatever the orders are. The strata are few and their
-    table is the size of the targets'."""
-    keyed = candidates.withColumn("__order", order)
-    seen = keyed.groupBy(*strata).agg(F.count(F.lit(1)).alias("seen"))
-    cap = F.least(F.lit(1.0), (F.col("target") * (1 + slack) + floor) / F.col("seen"))
-    plan = targets.join(seen, strata).withColumn("limit", F.ceil(cap * MODULUS))
-    passing = keyed.join(plan.select(*strata, "limit"), strata).where("__order <= limit").groupBy(*strata).agg(F.count(F.lit(1)).alias("passing"))
-    plan = plan.join(passing, strata, "left").withColumn("limit", F.when(F.coalesce("passing", F.lit(0)) >= F.least("target", "seen"), F.col("limit")).otherwise(MODULUS))
-    kept = keyed.join(plan.select(*strata, "limit", "target"), strata).where("__order <= limit")
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("__order", *ties))
-    return kept.withColumn("__rank", rank).where("__rank <= target").select(*candidates.columns)
-
-
-def report(targets: DataFrame, sample: DataFrame, candidates: DataFrame, strata: list[str]) -> DataFrame:
-    """Of each stratum: target, actual, shortfall, candidates seen."""
-    count = lambda df, name: df.groupBy(*strata).agg(F.count(F.lit(1)).alias(name))
-    out = targets.join(count(sample, "actual"), strata, "left").join(count(candidates, "candidates_seen"), strata, "left").na.fill(0, ["actual", "candidates_seen"])
+def sample(candidates: DataFrame, targets: DataFrame, strata: list[str], order: Column, ties: list[str]) -> DataFrame:
+    """Exactly min(target, seen) rows of each stratum of candidates, those of least order."""
+    return draw(candidates, targets, strata, order, ties)[0]
+
+
+def draw(candidates: DataFrame, targets: DataFrame, strata: list[str], order: Column, ties: list[str]) -> tuple[DataFrame, DataFrame]:
+    """sample(), and the number of candidates seen in each stratum (strata and seen).
+
+    order is a number in [0, MODULUS) that depends on the row alone. The candidates, which may come from
+    a join that makes billions of them, are made once and written with their slice, one of SLICES of the
+    order. Counts by stratum and slice, a small table, say which slices are taken whole and in which one
+    the target ends; only that slice's rows are ranked, so no task sees a stratum."""
+    key, slice_ = "__order", "__slice"
+    keyed = candidates.withColumn(key, order)
+    keyed = written(keyed.withColumn(slice_, F.floor(F.col(key) * F.lit(SLICES) / F.lit(MODULUS)).cast("int")), "candidates")
+    counts = written(keyed.groupBy(*strata, slice_).agg(F.count(F.lit(1)).alias("n")), "slices")
+    upto = F.sum("n").over(Window.partitionBy(*strata).orderBy(slice_))
+    plan = counts.withColumn("before", upto - F.col("n")).join(targets, strata).where("before < target")
+    plan = written(plan.select(*strata, slice_, F.when(F.col("before") + F.col("n") <= F.col("target"), None).otherwise(F.col("target") - F.col("before")).alias("__rest")), "plan")
+    kept = keyed.join(plan, [*strata, slice_])
+    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(key, *ties))
+    cut = kept.where("__rest is not null").withColumn("__rank", rank).where("__rank <= __rest")
+    out = kept.where("__rest is null").select(*candidates.columns).unionByName(cut.select(*candidates.columns))
+    return out, counts.groupBy(*strata).agg(F.sum("n").alias("seen"))
+
+
+def report(targets: DataFrame, sample: DataFrame, seen: DataFrame, strata: list[str]) -> DataFrame:
+    """Of each stratum: target, actual, shortfall, candidates seen (of draw())."""
+    actual = sample.groupBy(*strata).agg(F.count(F.lit(1)).alias("actual"))
+    out = targets.join(actual, strata, "left").join(seen.withColumnRenamed("seen", "candidates_seen"), strata, "left").na.fill(0, ["actual", "candidates_seen"])
     return out.withColumn("shortfall", F.greatest(F.lit(0), F.col("target") - F.col("actual")))
 
 

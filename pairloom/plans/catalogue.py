@@ -299,7 +299,7 @@ def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- parity and transcripts
 
-_KEYED = "SELECT clip_id, path, mic_type, concat_ws('_', speaker_id, meeting_id, CAST(clip_id % 4 + clip_id // 8 * 4 AS VARCHAR(10))) AS k FROM clips WHERE clip_id % 11 <> 3"
+_KEYED = "SELECT clip_id, path, mic_type, concat_ws('_', speaker_id, meeting_id, CAST(clip_id % 4 + clip_id // 8 * 4 AS VARCHAR(10)), CASE WHEN clip_id % 11 = 3 THEN mic_type END) AS k FROM clips"
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -506,10 +506,21 @@ def bin_mic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histograms.by_bin_and_mic(positives(spark, sf_dir), "diff_cs", 50, F.col("mic"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS mismatches")
+@query(
+    with_("positives", m=_MIC_BINS)
+    + """SELECT 'both microphones' AS compared, count(*) FILTER (total_count <> ihm_ihm_count + ihm_sdm_count) AS mismatches, CAST(coalesce(sum(abs(total_count - ihm_ihm_count - ihm_sdm_count)), 0) AS BIGINT) AS missing FROM m
+UNION ALL SELECT 'headset only', count(*) FILTER (total_count <> ihm_ihm_count), CAST(sum(total_count - ihm_ihm_count) AS BIGINT) FROM m"""
+)
 def bin_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins against their sums over microphones, and against one microphone's, which must not add up."""
     p = positives(spark, sf_dir)
-    return histograms.check_bins(histograms.equal_width(p, "diff_cs", 50), histograms.by_bin_and_mic(p, "diff_cs", 50, F.col("mic"))).agg(F.count(F.lit(1)).alias("mismatches"))
+    bins, mics = histograms.equal_width(p, "diff_cs", 50), histograms.by_bin_and_mic(p, "diff_cs", 50, F.col("mic"))
+    out = None
+    for name, some in (("both microphones", mics), ("headset only", mics.withColumn("ihm_sdm_count", F.lit(0)))):
+        wrong = histograms.check_bins(bins, some).agg(F.count(F.lit(1)).alias("mismatches"), F.coalesce(F.sum(F.abs(F.col("count") - F.col("mic_count"))), F.lit(0)).alias("missing"))
+        one = wrong.select(F.lit(name).alias("compared"), "mismatches", "missing")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ---- sampling
@@ -529,14 +540,14 @@ def _sampling_sql(ratio: int) -> str:
 
 
 def _sampled(spark: SparkSession, sf_dir: str, ratio: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Targets, sample and candidates in range, by ten bins of the positives' difference and mic."""
+    """Targets, sample and numbers of candidates in range, by ten bins of the positives' difference and mic."""
     p, n = positives(spark, sf_dir), negatives(spark, sf_dir)
-    bounds = p.agg(F.min("diff_cs").cast("double").alias("lo"), F.max("diff_cs").cast("double").alias("hi"))
-    binned = lambda df: df.join(F.broadcast(bounds)).withColumn("bin", binning.width_bin(F.col("diff_cs").cast("double"), F.col("lo"), F.col("hi"), 10)).drop("lo", "hi").where("bin is not null")
+    lo, hi = histograms.limits(p, "diff_cs")
+    binned = lambda df: df.withColumn("bin", binning.width_bin(F.col("diff_cs").cast("double"), lo, hi, 10)).where("bin is not null")
     goals = sampling.targets(binned(p), ["bin", "mic"], ratio)
-    seen = binned(n.select("enroll_clip_id", "test_clip_id", "diff_cs", "mic"))
+    candidates = binned(n.select("enroll_clip_id", "test_clip_id", "diff_cs", "mic"))
     order = sampling.order_key(F.col("enroll_clip_id"), F.col("test_clip_id"))
-    return goals, sampling.sample(seen, goals, ["bin", "mic"], order, ["enroll_clip_id", "test_clip_id"]), seen
+    return goals, *sampling.draw(candidates, goals, ["bin", "mic"], order, ["enroll_clip_id", "test_clip_id"])
 
 
 @query(_sampling_sql(1) + "SELECT enroll_clip_id, test_clip_id, diff_cs, mic, bin FROM drawn")
@@ -564,6 +575,10 @@ def ratio_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FEATURES = "SELECT vec_id AS id, CASE WHEN vec_id % 13 = 5 THEN NULL ELSE (vec_id * 37) % 101 / 10.0::DOUBLE END AS energy_db FROM embeddings"
 
 
+#: Features of some clips stand under another path, so trials miss them.
+_OTHER_PATHS = "SELECT clip_id AS id, CASE WHEN clip_id % 7 = 2 THEN concat('/moved', path) ELSE path END AS path FROM clips"
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "CASE WHEN vec_id % 13 = 5 THEN NULL ELSE (vec_id * 37) % 101 / 10.0D END AS energy_db")
 
@@ -575,9 +590,10 @@ def feature_join_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("energy_db_diff", F.round("energy_db_diff", 6))
 
 
-@query(with_("positives", f=_FEATURES + " WHERE vec_id % 7 <> 2") + "SELECT enroll_path, test_path, a.energy_db AS enroll_energy_db, b.energy_db AS test_energy_db FROM positives LEFT JOIN (SELECT path, energy_db FROM f JOIN clips ON clip_id = id) a ON a.path = enroll_path LEFT JOIN (SELECT path, energy_db FROM f JOIN clips ON clip_id = id) b ON b.path = test_path")
+@query(with_("positives", f=_FEATURES, o=_OTHER_PATHS) + "SELECT enroll_path, test_path, a.energy_db AS enroll_energy_db, b.energy_db AS test_energy_db FROM positives LEFT JOIN (SELECT path, energy_db FROM f JOIN o USING (id)) a ON a.path = enroll_path LEFT JOIN (SELECT path, energy_db FROM f JOIN o USING (id)) b ON b.path = test_path")
 def feature_join_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _features(spark, sf_dir).where("id % 7 <> 2").join(clips(spark, sf_dir).select(F.col("clip_id").alias("id"), "path"), "id")
+    others = spark.sql(_OTHER_PATHS.replace("FROM clips", "FROM {clips}"), clips=clips(spark, sf_dir))
+    f = _features(spark, sf_dir).join(others, "id")
     return features.attach(_pathed(spark, sf_dir).select("enroll_path", "test_path"), f, ["energy_db"], "path", "enroll_path", "test_path", bytes_a_row=256)
 
 
@@ -621,7 +637,7 @@ def wada_g(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def wada_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Energy and SNR of the signals; checked against a plain interpolation in the tests."""
-    return features.signal_features(table(spark, sf_dir, "embeddings"), "embedding", vectors.calibration(samples=100_000), "vec_id")
+    return features.signal_features(table(spark, sf_dir, "embeddings"), "embedding", vectors.calibration(), "vec_id")
 
 
 @query(with_("clips") + "SELECT bucket, count(*) AS n, round(count(*) / (SELECT count(*) FROM clips WHERE duration_cs > 0), 6) AS share, (SELECT median(duration_cs) / 100 FROM clips WHERE duration_cs > 0) AS median_s FROM (SELECT CASE WHEN duration_cs < 100 THEN '<1s' WHEN duration_cs < 200 THEN '1-2s' WHEN duration_cs < 400 THEN '2-4s' ELSE '>=4s' END AS bucket FROM clips WHERE duration_cs > 0) GROUP BY 1")
@@ -765,11 +781,11 @@ def eer_both_ge_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_("positives", v=_V)
     + """, q AS (SELECT quantile_cont(x, 0.005) AS lo, quantile_cont(x, 0.995) AS hi, stddev_pop(x) * power(count(*), -0.2) AS h, count(*) AS n FROM v),
-g AS (SELECT CAST(range AS INT) AS i, lo + (hi - lo) * range / 99 AS grid, h, n FROM q, range(100)), d AS (SELECT x, count(*) AS w FROM v GROUP BY x)
+g AS (SELECT CAST(range AS INT) AS i, lo + (hi - lo) * range / 399 AS grid, h, n FROM q, range(400)), d AS (SELECT x, count(*) AS w FROM v GROUP BY x)
 SELECT i, round(grid, 6) AS grid, round(sum(w * exp(-0.5 * ((grid - x) / h) ** 2)) / (n * h * 2.5066282746310002), 6) AS density FROM g, d GROUP BY i, grid, h, n"""
 )
 def kde_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.kde(positives(spark, sf_dir), "diff_cs", points=100)
+    return metrics.kde(positives(spark, sf_dir), "diff_cs", points=400)
 
 
 @query(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import math
+import struct
 import tarfile
-import wave
+import urllib.parse
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names
+from ..functions import names, text
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*.wav") -> DataFrame:
@@ -32,16 +34,46 @@ def corpus_root(spark: SparkSession, given: str) -> str:
     raise FileNotFoundError(f"no ihm or sdm folder at {given}, in its audio folder or beside it")
 
 
-def manifest(spark: SparkSession, root: str) -> DataFrame:
+def manifest(spark: SparkSession, root: str, limit: int | None = None, texts: bool = False) -> DataFrame:
     """The corpus under root/{mic}/{split}/{speaker}/stem.{wav,txt}: one row a stem, wav and txt paired
-    by one aggregation, with what folder and stem say and whether they agree."""
-    files = list_files(spark, root, "*.{wav,txt,WAV,TXT}")
+    by one aggregation, with what folder and stem say and whether they agree.
+
+    limit keeps that many stems, the first by place (a quick scan of a corpus); texts attaches char_count, word_count and unique_words of the transcripts, which are then read."""
+    paired = pair_files(place_files(list_files(spark, root, "*.{wav,txt,WAV,TXT}")))
+    if limit is not None:
+        paired = paired.orderBy(*PLACE).limit(limit)
+    out = decode_manifest(paired)
+    if texts:
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,TXT}").load(root)
+        said = place_files(read.select("path", "length", "content")).select(*PLACE, text.text_stats(F.trim(F.col("content").cast("string"))).alias("t"))
+        out = out.join(said.select(*PLACE, "t.*"), PLACE, "left")
+    return out
+
+
+PLACE = ["mic_config", "split", "speaker_folder", "stem"]
+
+
+def place_files(files: DataFrame) -> DataFrame:
+    """files (path, length ...) under {mic}/{split}/{speaker}/ with mic_config, split, speaker_folder, stem
+    and kind (wav or txt) from their path; others are left out."""
     place = r"(?i)/(ihm|sdm)/([^/]+)/([^/]+)/([^/]+)\.(wav|txt)$"
     part = lambda i: F.regexp_extract("path", place, i)
-    rows = files.where(F.col("path").rlike(place)).select(F.lower(part(1)).alias("mic_config"), F.lower(part(2)).alias("split"), part(3).alias("speaker_folder"), part(4).alias("stem"), F.lower(part(5)).alias("kind"), "length")
-    keys = ["mic_config", "split", "speaker_folder", "stem"]
-    paired = rows.groupBy(*keys).agg(F.max(F.col("kind") == "wav").alias("has_wav"), F.max(F.col("kind") == "txt").alias("has_txt"), F.max(F.when(F.col("kind") == "wav", F.col("length"))).alias("file_size_bytes"))
-    return decode_manifest(paired)
+    others = [c for c in files.columns if c != "path"]
+    return files.where(F.col("path").rlike(place)).select(F.lower(part(1)).alias("mic_config"), F.lower(part(2)).alias("split"), part(3).alias("speaker_folder"), part(4).alias("stem"), F.lower(part(5)).alias("kind"), *others)
+
+
+def pair_files(rows: DataFrame, keys: list[str] = PLACE) -> DataFrame:
+    """has_wav, has_txt and file_size_bytes (of the wav) of each key of rows (keys, kind, length): a full
+    outer pairing by one aggregation."""
+    is_ = lambda kind: F.col("kind") == kind
+    return rows.groupBy(*keys).agg(F.max(is_("wav")).alias("has_wav"), F.max(is_("txt")).alias("has_txt"), F.max(F.when(is_("wav"), F.col("length"))).alias("file_size_bytes"))
+
+
+def empty_places(folders: DataFrame, files: DataFrame, folder: str = "folder") -> DataFrame:
+    """Expected folders (a column) without any file below them: what a scan should warn about."""
+    held = files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("at")).distinct()
+    below = folders.join(held, (F.col("at") == F.col(folder)) | F.col("at").startswith(F.concat(F.col(folder), F.lit("/"))), "left_anti")
+    return below.select(folder)
 
 
 def decode_manifest(rows: DataFrame) -> DataFrame:
@@ -57,45 +89,147 @@ def decode_manifest(rows: DataFrame) -> DataFrame:
 
 
 def read_tar(spark: SparkSession, path: str) -> DataFrame:
-    """archive, member and content of the regular files in tar archives, one task an archive at most."""
+    """archive, member and content of the regular files in tar archives (plain or compressed), one task
+    an archive at most.
+
+    Archives are read as a stream through Spark's file system, a member at a time, so an archive may be
+    larger than memory; a member must fit in one cell."""
+    conf = spark._jsc.hadoopConfiguration()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    local = at.getFileSystem(conf).getScheme() == "file"
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+            for k, archive in enumerate(batch["path"]):
+                source = open(urllib.parse.unquote(archive.removeprefix("file:")), "rb") if local else io.BytesIO(batch["content"][k])
+                with source, tarfile.open(fileobj=source, mode="r|*") as tar:
                     for m in tar:
                         if m.isfile():
                             yield pd.DataFrame({"archive": [archive], "member": [m.name], "content": [tar.extractfile(m).read()]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, content binary")
+    files = spark.read.format("binaryFile").load(path)
+    rows = files.select("path").repartition("path") if local else files.select("path", "content")
+    return rows.mapInPandas(members, "archive string, member string, content binary")
+
+
+# ---- WAV
+
+_PCM, _FLOAT, _EXTENSIBLE = 1, 3, 0xFFFE
+
+
+class BadAudio(ValueError):
+    """A file that is no WAV of a known encoding."""
+
+
+def wav_header(data: bytes) -> tuple[int, int, int, int, int, int]:
+    """Format (1 PCM, 3 float), channels, sample rate, bits a sample, and where the samples start and
+    how many bytes they are, from the chunk headers alone."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        raise BadAudio("no RIFF/WAVE header")
+    at, form = 12, None
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        if name == b"fmt ":
+            code, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, at + 8)
+            if code == _EXTENSIBLE and size >= 26:
+                code = struct.unpack_from("<H", data, at + 32)[0]
+            form = code, channels, rate, bits
+        elif name == b"data":
+            if form is None:
+                break
+            return *form, at + 8, min(size, len(data) - at - 8)
+        at += 8 + size + size % 2
+    raise BadAudio("no format or no data chunk")
+
+
+def wav_samples(data: bytes) -> tuple[int, np.ndarray]:
+    """Sample rate and samples (frames x channels, -1 to 1) of PCM with 8, 16, 24 or 32 bits and float
+    with 32 or 64."""
+    code, channels, rate, bits, at, size = wav_header(data)
+    width = bits // 8
+    if channels < 1 or (code, bits) not in {(_PCM, 8), (_PCM, 16), (_PCM, 24), (_PCM, 32), (_FLOAT, 32), (_FLOAT, 64)}:
+        raise BadAudio(f"format {code} with {bits} bits and {channels} channels")
+    raw = data[at : at + size - size % (width * channels)]
+    if code == _FLOAT:
+        x = np.frombuffer(raw, f"<f{width}").astype(np.float64)
+    elif bits == 8:
+        x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+    elif bits == 24:
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        x = wide.view("<i4").ravel() / 2.0**31
+    else:
+        x = np.frombuffer(raw, f"<i{width}") / 2.0 ** (bits - 1)
+    return rate, x.reshape(-1, channels)
+
+
+def resample(x: np.ndarray, rate: int, to: int, zeros: int = 16) -> np.ndarray:
+    """A mono signal at another rate: band-limited interpolation with a Hann-windowed sinc of that many
+    zero crossings, cut off at the lower of the two Nyquist frequencies."""
+    if rate == to or not len(x):
+        return x
+    common = math.gcd(rate, to)
+    down, up = rate // common, to // common
+    cut = min(1.0, to / rate)
+    reach = int(np.ceil(zeros / cut))
+    n = -(-len(x) * up // down)
+    out = np.empty(n)
+    taps = np.arange(-reach, reach + 2)
+    padded = np.concatenate([np.zeros(reach), x, np.zeros(reach + 2)])
+    for phase in range(min(up, n)):  # outputs of one phase lie at like places between inputs
+        where = np.arange(phase, n, up, dtype=np.int64) * down
+        whole, part = where // up, (where[0] % up) / up
+        t = taps - part
+        kernel = cut * np.sinc(cut * t) * np.where(np.abs(t) < reach + 1, 0.5 + 0.5 * np.cos(np.pi * t / (reach + 1)), 0)
+        windows = np.lib.stride_tricks.sliding_window_view(padded, len(taps))
+        for a in range(0, len(whole), 65_536):
+            out[phase + a * up : phase + (a + len(whole[a : a + 65_536]) - 1) * up + 1 : up] = windows[whole[a : a + 65_536]] @ kernel
+    return out
+
+
+def _each(files: DataFrame, path: str, content: str, one, columns: str, empty: tuple) -> DataFrame:
+    """path and columns, the last of them error, of one(content) for each file."""
+    names_ = ["path", *[c.split()[0] for c in columns.split(", ")]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, data in zip(batch["path"], batch["content"]):
+                try:
+                    out.append((name, *one(data)))
+                except (BadAudio, struct.error) as why:
+                    out.append((name, *empty, f"{type(why).__name__}: {why}"))
+            yield pd.DataFrame(out, columns=names_, dtype=object)
+
+    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, "path string, " + columns)
+
+
+def probe_wav(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path, sample_rate, channels, bits, duration_s and error of WAV contents, from their headers: no
+    sample is decoded."""
+
+    def one(data: bytes) -> tuple:
+        _, channels, rate, bits, _, size = wav_header(data)
+        frames = size // max(1, channels * bits // 8)
+        return rate, channels, bits, frames / rate, None if frames else "empty_file"
 
+    return _each(files, path, content, one, "sample_rate int, channels int, bits int, duration_s double, error string", (None,) * 4)
 
-def decode_wav(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """path, sample_rate, channels, duration_s, signal (mono, -1 to 1) and error of WAV contents.
+
+def decode_wav(files: DataFrame, path: str = "path", content: str = "content", rate: int | None = None) -> DataFrame:
+    """path, sample_rate, channels, duration_s, signal (mono, -1 to 1, at the given rate or its own) and
+    error of WAV contents; sample_rate and channels are the file's.
 
     A file that cannot be read, or has no samples, gives an error instead of a signal."""
 
     def one(data: bytes) -> tuple:
-        with wave.open(io.BytesIO(data), "rb") as w:
-            width, channels, rate, n = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.getnframes()
-            raw = w.readframes(n)
-        if not n:
-            return rate, channels, 0.0, None, "empty_file"
-        x = np.frombuffer(raw, {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
-        x = (x - 128) / 128 if width == 1 else x / 2.0 ** (8 * width - 1)
-        return rate, channels, n / rate, x.reshape(-1, channels).mean(1).tolist(), None
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, data in zip(batch["path"], batch["content"]):
-                try:
-                    out.append((name, *one(data)))
-                except (wave.Error, EOFError, KeyError) as why:
-                    out.append((name, None, None, None, None, f"{type(why).__name__}: {why}"))
-            yield pd.DataFrame(out, columns=["path", "sample_rate", "channels", "duration_s", "signal", "error"])
+        own, x = wav_samples(data)
+        if not len(x):
+            return own, x.shape[1], 0.0, None, "empty_file"
+        signal = x.mean(1)
+        return own, x.shape[1], len(x) / own, (signal if rate is None else resample(signal, own, rate)).tolist(), None
 
-    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(decode, "path string, sample_rate int, channels int, duration_s double, signal array<double>, error string")
+    return _each(files, path, content, one, "sample_rate int, channels int, duration_s double, signal array<double>, error string", (None,) * 4)
 
 
 def audit_durations(decoded: DataFrame, named_s: Column) -> DataFrame:

@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="pairloom-")
     spark.conf.set("spark.checkpoint.dir", made)
@@ -30,6 +30,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def n_partitions(spark: SparkSession) -> int:
+    """Shuffle partitions as the session is sized for its data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: later reads neither recompute it nor depend on any
     one executor. The table goes when the driver ends."""

@@ -46,15 +46,14 @@ def resume(all_rows: DataFrame, path: str, work: Work, key: str, value: str, err
 def follow(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, work: Work, key: str, file_format: str = "parquet"):
     """A stream that does new files of source once, appending to path; restarts from its checkpoint.
 
-    A batch that is retried after a failure first leaves out keys that it has already written, so rows
-    are written once. It ends when all files of now are done."""
+    Each batch is a partition `epoch` of the output that a retry after a failure writes anew, so its rows
+    are there once, and no batch reads what earlier ones wrote. Of rows with one key in a batch one is
+    done; a key that comes again in a later batch is done again, and latest() picks one. It ends when all
+    files of now are done."""
 
     def batch(rows: DataFrame, epoch: int) -> None:
         out = work(rows.dropDuplicates([key])).withColumn("epoch", F.lit(epoch))
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            out = out.join(spark.read.parquet(path).select(key), key, "left_anti")
-        out.write.mode("append").parquet(path)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
 
     stream = spark.readStream.format(file_format).schema(schema).load(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

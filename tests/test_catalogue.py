@@ -33,7 +33,7 @@ def test_signals_against_numpy(spark, sf_dir):
 
     from pairloom.functions import vectors
 
-    curve = vectors.calibration(samples=100_000)
+    curve = vectors.calibration()
     assert len(curve) == len(vectors.SNR_GRID_DB) and all(a <= b for a, b in zip(curve, curve[1:]))
     got = {r["vec_id"]: r for r in catalogue.wada_snr(spark, sf_dir).collect()}
     for r in catalogue.table(spark, sf_dir, "embeddings").limit(40).collect():

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import binning, durations, names, text, vectors
 from pairloom.functions.pairs import resolve_pair_columns
-from pairloom.operators import encode, histograms, metrics, parity, profile, sampling, split, trials
+from pairloom.operators import encode, histograms, metrics, parity, profile, ranks, sampling, split, trials
 
 
 def value(spark, column):
@@ -27,9 +27,9 @@ def brute_eer(scores, target):
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(-3, 3), st.booleans()), min_size=2, max_size=30).filter(lambda x: len({t for _, t in x}) == 2), st.sampled_from([1, 3, 4096]))
-def test_exact_eer_with_ties(spark, rows, coarse):
+def test_exact_eer_with_ties(spark, rows, buckets):
     df = spark.createDataFrame([(float(s), t) for s, t in rows], "s double, t boolean")
-    got = metrics.eer_exact(df, "s", "t", coarse=coarse).first()
+    got = metrics.eer_exact(df, "s", "t", buckets=buckets).first()
     eer, threshold = brute_eer([float(s) for s, _ in rows], [t for _, t in rows])
     assert got["eer"] == pytest.approx(eer) and got["threshold"] == threshold
 
@@ -53,26 +53,36 @@ def test_exact_sample_sizes_do_not_depend_on_partitions(spark):
     c = spark.range(5000).select(F.col("id").alias("a"), (F.col("id") % 3).alias("b"), (F.col("id") % 2).alias("mic"))
     goals = spark.createDataFrame([(0, 0, 100), (1, 1, 5000), (2, 0, 0)], "b long, mic long, target long")
     order = sampling.order_key(F.col("a"), F.col("b"))
-    got = [sampling.sample(c.repartition(n), goals, ["b", "mic"], order, ["a"], floor=5).select("a").orderBy("a").toPandas().a.tolist() for n in (1, 7)]
+    got = [sampling.sample(c.repartition(n), goals, ["b", "mic"], order, ["a"]).select("a").orderBy("a").toPandas().a.tolist() for n in (1, 7)]
     assert got[0] == got[1]
     assert len(got[0]) == 100 + c.where("b = 1 and mic = 1").count()
 
 
-def test_counts_of_pairs_by_hand(spark):
-    """Three speakers of a gender, each 150 enroll clips in one meeting, 150 + 150 test clips in another;
-    the second speaker enrolls where the first is tested."""
-    rows = lambda side: [(f"mio00{i}", m, "ihm") for i, m in enumerate(side)]
-    e = spark.createDataFrame([r for r in rows("ABD") for _ in range(150)], "speaker_id string, meeting_id string, mic_type string")
-    t = spark.createDataFrame([(s, m, mic) for s, m, _ in rows("BCE") for mic in ("ihm", "sdm") for _ in range(150)], "speaker_id string, meeting_id string, mic_type string")
-    ec, tc = profile.speaker_meeting_mic(e), profile.speaker_meeting_mic(t)
-    pos = trials.count_positives(ec, tc).collect()
-    assert [r["positives"] for r in pos] == [45_000] * 3 and sum(r["same_meeting"] for r in pos) == 0
-    neg = trials.count_negatives(ec, tc).first()
-    assert (neg["raw"], neg["excluded"], neg["surviving"]) == (6 * 45_000, 45_000, 5 * 45_000)
-    assert tuple(trials.acquaintance(ec, tc).first()) == ("m", 1, 2)
-    assert trials.disjointness(ec, tc).count() == 0
-    shared = trials.count_positives(ec, ec).collect()
-    assert all(r["positives"] == 0 and r["same_meeting"] == 22_500 for r in shared)
+def test_counts_of_pairs_equal_pairs(spark):
+    """Counts from sums against the pairs themselves: two genders, uneven numbers, a speaker on one side
+    only, meetings that several speakers and both sides have."""
+    r = np.random.default_rng(5)
+    people = ["feo001", "feo002", "fed003", "mio004", "mio005", "mtd006"]
+    side = lambda who, mics: [(p, f"room{r.integers(4)}", str(r.choice(mics))) for p in who for _ in range(int(r.integers(2, 30)))]
+    enroll, test = side(people[:5], ["ihm"]), side(people[1:], ["ihm", "sdm"])
+    kind = "speaker_id string, meeting_id string, mic_type string"
+    ec, tc = (profile.speaker_meeting_mic(spark.createDataFrame(x, kind)) for x in (enroll, test))
+    pairs = [(a, b) for a in enroll for b in test]
+    own = [(a, b) for a, b in pairs if a[0] == b[0]]
+    for row in trials.count_positives(ec, tc).collect():
+        mine = [(a, b) for a, b in own if a[0] == row["speaker_id"]]
+        apart = [b[2] for a, b in mine if a[1] != b[1]]
+        assert (row["raw"], row["positives"], row["ihm_ihm"], row["ihm_sdm"]) == (len(mine), len(apart), apart.count("ihm"), apart.count("sdm"))
+    others = [(a, b) for a, b in pairs if a[0] != b[0] and a[0][0] == b[0][0]]
+    for row in trials.count_negatives(ec, tc).collect():
+        mine = [(a, b) for a, b in others if a[0][0] == row["gender"]]
+        assert (row["raw"], row["excluded"]) == (len(mine), sum(a[1] == b[1] for a, b in mine)) and row["surviving"] == row["raw"] - row["excluded"]
+    met = {frozenset((a[0], b[0])) for a, b in others if a[1] == b[1]}
+    for row in trials.acquaintance(ec, tc).collect():
+        n = sum(p[0] == row["gender"] for p in people)
+        assert row["teammate_pairs"] == sum(min(m)[0] == row["gender"] for m in met) and row["teammate_pairs"] + row["stranger_pairs"] == n * (n - 1) // 2
+    shared = {(a[0], a[1]) for a in enroll} & {(b[0], b[1]) for b in test}
+    assert trials.disjointness(ec, tc).count() == len(shared) > 0
 
 
 def test_meeting_split_is_disjoint_and_rounds_down(spark):
@@ -163,3 +173,51 @@ def test_pair_columns():
     assert resolve_pair_columns(["enroll_id", "test_id", "x"]) == ("enroll_id", "test_id", "id")
     with pytest.raises(ValueError):
         resolve_pair_columns(["enroll_path", "enroll2_path", "test_path"])
+
+
+def test_percentiles_are_exact(spark):
+    r = np.random.default_rng(9)
+    for x in (r.normal(size=5000), r.integers(0, 7, 3000).astype(float), np.r_[r.random(2000), 1e9], np.array([3.5])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+        shares = [0.0, 0.0001, 0.25, 0.5, 0.9, 0.9999, 1.0]
+        assert ranks.percentiles(df.repartition(5), "x", shares) == pytest.approx(np.percentile(x, [100 * s for s in shares]).tolist(), rel=1e-12)
+    assert ranks.percentiles(df.limit(0), "x", [0.5]) == [None]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_plan_gathers_all_values_in_one_task(spark):
+    df = spark.range(10_000).select(F.rand(1).alias("x"), (F.col("id") % 2 == 0).alias("t"))
+    bounds = metrics.score_range(df, "x")
+    for out in (histograms.percentile_grid(df, "x"), histograms.moments(df, "x"), histograms.equal_count(df, "x"), histograms.density(df, "x"), metrics.kde(df, "x"), bounds, metrics.eer_exact(df, "x", "t")):
+        plan = _plan(out)
+        assert "percentile(" not in plan and "median(" not in plan and "CartesianProduct" not in plan
+    c = df.select((F.rand(2) * 1e6).cast("long").alias("a"), F.lit(1).alias("b"))
+    drawn, seen = sampling.draw(c, spark.createDataFrame([(1, 50)], "b int, target long"), ["b"], sampling.order_key(F.col("a")), ["a"])
+    assert drawn.count() == 50 and seen.first()["seen"] == 10_000 and "rand(" not in _plan(drawn)  # the candidates are not made again
+
+
+def test_eer_with_nan_outliers_and_ties(spark):
+    r = np.random.default_rng(11)
+    for extra in ([], [(1e9, False)], [(-1e9, True)], [(float("nan"), True), (float("nan"), False), (None, True)]):
+        rows = [(float(round(s, 2)), bool(t)) for s, t in zip(r.normal(size=4000), r.random(4000) < 0.3)] + extra
+        got = metrics.eer_exact(spark.createDataFrame(rows, "s double, t boolean"), "s", "t").first()
+        known = sorted([x for x in rows if x[0] is not None and x[0] == x[0]], key=lambda x: (-x[0], not x[1]))
+        nt, nn = sum(t for _, t in known), sum(not t for _, t in known)
+        a = b = 0
+        best = None
+        for s, t in known:
+            a, b = a + t, b + (not t)
+            gap = abs(b * nt - (nt - a) * nn)
+            if best is None or gap < best[0]:
+                best = (gap, (b / nn + (nt - a) / nt) / 2, s)
+        assert (got["n_target"], got["n_nontarget"]) == (nt, nn) and got["eer"] == pytest.approx(best[1]) and got["threshold"] == best[2]
+
+
+def test_kde_of_many_values(spark, monkeypatch):
+    df = spark.createDataFrame([(float(v),) for v in np.random.default_rng(2).normal(size=3000)], "x double")
+    exact = {r["i"]: r["density"] for r in metrics.kde(df, "x", 50).collect()}
+    monkeypatch.setattr(metrics, "KDE_VALUES", 500)
+    assert all(abs(r["density"] - exact[r["i"]]) < 2e-3 for r in metrics.kde(df, "x", 50).collect())
