@@ -62,7 +62,7 @@ def cmd_split(spark: SparkSession, a: argparse.Namespace) -> None:
         tables.write_table(df, f"{a.out}/{name.lower()}", mode="overwrite")
     if a.xlsx:
         sheets = {n: spark.read.parquet(f"{a.out}/{n.lower()}") for n in found}
-        tables.write_workbook(a.xlsx, sheets, [(f"{n} rows", f"=COUNTA({n}!A:A)-1") for n in sheets])
+        tables.write_workbook(spark, a.xlsx, sheets, [(f"{n} rows", f"=COUNTA({n}!A:A)-1") for n in sheets])
 
 
 def _sides(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:

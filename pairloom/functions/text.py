@@ -33,23 +33,28 @@ def bucket_labels(edges: list[float], unit: str = "s") -> list[str]:
     return [f"<{shown[0]}{unit}", *[f"{a}-{b}{unit}" for a, b in zip(shown, shown[1:])], f">={shown[-1]}{unit}"]
 
 
+def _shown(x: Column, places: int, unit: str) -> Column:
+    """A number with so many places, halves to the even digit, and a unit."""
+    return F.format_string(f"%.{places}f{unit.replace('%', '%%')}", F.bround(x, places))
+
+
 def human_size(n_bytes: Column) -> Column:
     """Bytes in the largest unit of 1024s with two places."""
     out = None
     for power, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        shown = F.format_string(f"%.2f {unit}", n_bytes / float(1024**power))
+        shown = _shown(n_bytes / float(1024**power), 2, f" {unit}")
         out = F.when(n_bytes >= 1024**power, shown) if out is None else out.when(n_bytes >= 1024**power, shown)
     return out.otherwise(F.format_string("%.2f B", n_bytes.cast("double")))
 
 
 def short_count(n: Column) -> Column:
     """1234567 as 1.23M, 1234 as 1K, smaller numbers as they are."""
-    return F.when(n >= 1_000_000, F.format_string("%.2fM", n / 1e6)).when(n >= 1_000, F.format_string("%.0fK", n / 1e3)).otherwise(n.cast("string"))
+    return F.when(n >= 1_000_000, _shown(n / 1e6, 2, "M")).when(n >= 1_000, _shown(n / 1e3, 0, "K")).otherwise(n.cast("string"))
 
 
 def percent(part: Column, whole: Column) -> Column:
     """Percent as text with one place, 'n/a' of nothing."""
-    return F.when(whole != 0, F.format_string("%.1f%%", part * 100.0 / whole)).otherwise("n/a")
+    return F.when(whole != 0, _shown(part * 100.0 / whole, 1, "%")).otherwise("n/a")
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -59,4 +64,4 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def one_to(positives: Column, negatives: Column) -> Column:
     """'1 : n' with two places, null without positives."""
-    return F.when(positives > 0, F.format_string("1 : %.2f", negatives / positives.cast("double")))
+    return F.when(positives > 0, F.concat(F.lit("1 : "), _shown(negatives / positives.cast("double"), 2, "")))

@@ -18,16 +18,22 @@ def path_dictionary(*columns: tuple[DataFrame, str], partitions: int | None = No
     for df, c in columns:
         one = df.select(F.col(c).alias("path"))
         paths = one if paths is None else paths.unionByName(one)
-    spark = paths.sparkSession
-    paths = paths.where("path is not null").distinct().repartitionByRange(partitions or n_partitions(spark), "path")
-    ranges = written(paths.withColumn("part", F.spark_partition_id()), "paths")
+    return dense_ids(paths.where("path is not null").distinct(), "path", "path_id", partitions).withColumn("path_id", F.col("path_id").cast("int"))
+
+
+def dense_ids(df: DataFrame, column: str, name: str, partitions: int | None = None) -> DataFrame:
+    """name and column: numbers from 0 by rising value of a column of distinct values. Ranges as in
+    path_dictionary()."""
+    spark = df.sparkSession
+    ranged = df.select(column).repartitionByRange(partitions or n_partitions(spark), column)
+    ranges = written(ranged.withColumn("part", F.spark_partition_id()), "ranges")
     offsets, before = [], 0
     for part, n in sorted(tuple(r) for r in ranges.groupBy("part").agg(F.count(F.lit(1))).collect()):  # a row a range
         offsets.append((part, before))
         before += n
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("path"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(column))
     start = F.broadcast(spark.createDataFrame(offsets, "part int, offset long"))
-    return ranges.withColumn("rank", inside).join(start, "part").select((F.col("offset") + F.col("rank") - 1).cast("int").alias("path_id"), "path")
+    return ranges.withColumn("rank", inside).join(start, "part").select((F.col("offset") + F.col("rank") - 1).alias(name), column)
 
 
 def encode_trials(trials: DataFrame, dictionary: DataFrame, largest_cs: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import names, text
 
 ENROLL_MIN_CS, TEST_LOW_CS, TEST_HIGH_CS, ENROLL_NEEDED = 450, 180, 320, 6
 UNKNOWN = 30
@@ -95,3 +95,9 @@ def known_mics(df: DataFrame, mic: str) -> DataFrame:
 def speaker_meeting_mic(df: DataFrame, speaker: str = "speaker_id", meeting: str = "meeting_id", mic: str = "mic_type") -> DataFrame:
     """Clips of each speaker and meeting by microphone, columns ihm and sdm."""
     return known_mics(df.where(F.col(speaker).isNotNull() & F.col(meeting).isNotNull()), mic).groupBy(speaker, meeting).agg(F.count_if(F.col(mic) == "ihm").alias("ihm"), F.count_if(F.col(mic) == "sdm").alias("sdm"))
+
+
+def undecodable(df: DataFrame, speaker: str) -> DataFrame:
+    """Speakers whose id does not say what speaker ids say, with their rows: they are left out of splits
+    and counts by gender."""
+    return df.where(F.col(speaker).isNotNull() & names.decode_speaker(F.col(speaker)).isNull()).groupBy(speaker).agg(F.count(F.lit(1)).alias("n"))

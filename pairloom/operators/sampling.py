@@ -58,6 +58,11 @@ def report(targets: DataFrame, sample: DataFrame, seen: DataFrame, strata: list[
     return out.withColumn("shortfall", F.greatest(F.lit(0), F.col("target") - F.col("actual")))
 
 
+def outside(candidates: DataFrame, bin_: Column) -> DataFrame:
+    """candidates and how many of them lie outside all bins, which a sample by bins leaves out."""
+    return candidates.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(bin_.isNull()).alias("outside"))
+
+
 def totals(report: DataFrame) -> DataFrame:
     return report.agg(*[F.sum(c).alias(c) for c in ("target", "actual", "shortfall", "candidates_seen")])
 

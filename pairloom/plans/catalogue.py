@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,21 +10,9 @@ from ..operators import batching, encode, features, histograms, metrics, parity,
 from ..sources import files
 from ..storage import written
 from ..streaming import incremental
+from . import stored  # noqa: F401  registers its queries
 from .clips import clips, negatives, positives, scored, sides, table, utterances, with_
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import QUERIES, SQL, query  # noqa: F401
 
 # ---- names and manifests
 
@@ -337,8 +323,9 @@ def transcript_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, d.doc_id IS NOT NULL AS has_wav, l.doc_id IS NOT NULL AS has_txt FROM documents d FULL JOIN (SELECT * FROM labels WHERE quality = 1) l USING (doc_id)")
 def wav_txt_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("wav").alias("kind")).unionByName(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit("txt").alias("kind")))
-    return rows.groupBy("doc_id").agg(F.max(F.col("kind") == "wav").alias("has_wav"), F.max(F.col("kind") == "txt").alias("has_txt"))
+    row = lambda df, kind: df.select("doc_id", F.lit(kind).alias("kind"), F.lit(1).alias("length"))
+    rows = row(table(spark, sf_dir, "documents"), "wav").unionByName(row(table(spark, sf_dir, "labels").where("quality = 1"), "txt"))
+    return files.pair_files(rows, ["doc_id"]).drop("file_size_bytes")
 
 
 # ---- trials

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -13,9 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import durations, names, text
+from ..storage import put
 
 PATHS = "path_id int, path string"
 FEATURES = "id long, energy_db double, wada_snr_db double, error string"
@@ -122,51 +123,35 @@ def sheet_rows(data: bytes, sheet: str) -> Iterator[list[str | None]]:
                 row.clear()
 
 
-class WorkbookSource(DataSource):
-    """spark.read.format('workbook').option('path', ...).option('sheet', ...): a sheet of an .xlsx file
-    whose first row names the columns, all of them texts."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
-
-    def schema(self) -> str:
-        head = next(sheet_rows(self._read(), self.options["sheet"]))
-        return ", ".join(f"`{c}` string" for c in head if c)
-
-    def _read(self) -> bytes:
-        with open(self.options["path"].removeprefix("file://"), "rb") as f:
-            return f.read()
-
-    def reader(self, schema) -> DataSourceReader:
-        return _WorkbookReader(self._read(), self.options["sheet"])
-
-
-class _WorkbookReader(DataSourceReader):
-    def __init__(self, data: bytes, sheet: str) -> None:
-        self.data, self.sheet = data, sheet
+def read_sheet(spark: SparkSession, path: str, sheet: str, required: list[str] | None = None) -> DataFrame:
+    """A sheet of an .xlsx file whose first row names the columns, all of them texts; columns without a
+    name are left out. The file is read by a task, its sheet as a stream of rows."""
+    files = spark.read.format("binaryFile").load(path).select("content")
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+    def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["content"]:
+                yield pd.DataFrame({"names": [next(sheet_rows(data, sheet), [])]})
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        rows = sheet_rows(self.data, self.sheet)
-        head = next(rows)
-        keep = [i for i, c in enumerate(head) if c]
-        for row in rows:
-            yield tuple(row[i] if i < len(row) else None for i in keep)
+    names_ = list(files.mapInPandas(head, "names array<string>").first()["names"])
+    keep = [i for i, c in enumerate(names_) if c]
 
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["content"]:
+                rows = itertools.islice(sheet_rows(data, sheet), 1, None)
+                for some in iter(lambda: list(itertools.islice(rows, 10_000)), []):
+                    yield pd.DataFrame([[r[i] if i < len(r) else None for i in keep] for r in some], columns=[names_[i] for i in keep], dtype=object)
 
-def read_sheet(spark: SparkSession, path: str, sheet: str, required: list[str] | None = None) -> DataFrame:
-    spark.dataSource.register(WorkbookSource)
-    return require_columns(spark.read.format("workbook").option("path", path).option("sheet", sheet).load(), required or [])
+    out = files.mapInPandas(body, ", ".join("`" + names_[i].replace("`", "``") + "` string" for i in keep))
+    return require_columns(out, required or [])
 
 
-def write_workbook(path: str, sheets: dict[str, DataFrame], summary: list[tuple[str, str]] | None = None, most: int = 1_048_575) -> None:
+def write_workbook(spark: SparkSession, path: str, sheets: dict[str, DataFrame], summary: list[tuple[str, str]] | None = None, most: int = 1_048_575) -> None:
     """An .xlsx file with a sheet a DataFrame and, if given, a Summary sheet of (label, formula) rows.
 
-    Workbooks are a report format: a sheet of more than `most` rows is an error. Rows come to the
-    driver a partition at a time."""
+    Workbooks are a report format, so at most `most` rows a sheet, which is the format's own limit; more
+    are an error. Rows come to the driver a partition at a time. The first row is bold and stays in view."""
 
     def sheet(rows: Iterator[list]) -> str:
         def cell(v) -> str:
@@ -176,8 +161,10 @@ def write_workbook(path: str, sheets: dict[str, DataFrame], summary: list[tuple[
                 return f"<c><v>{v}</v></c>"
             return "<c/>" if v is None else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
 
-        body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows)
-        return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_XLSX[1:-1]}"><sheetData>{body}</sheetData></worksheet>'
+        first = "<row>" + "".join(cell(v).replace("<c", '<c s="1"', 1) for v in next(rows)) + "</row>"
+        body = first + "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows)
+        view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
+        return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_XLSX[1:-1]}">{view}<sheetData>{body}</sheetData></worksheet>'
 
     def rows_of(df: DataFrame) -> Iterator[list]:
         yield df.columns
@@ -191,13 +178,26 @@ def write_workbook(path: str, sheets: dict[str, DataFrame], summary: list[tuple[
         parts["Summary"] = sheet(iter([["metric", "value"], *[[a, b] for a, b in summary]]))
     kinds = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
-        book.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(parts) + 1)) + "</Types>")
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(parts) + 1)) + "</Types>")
         book.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{kinds}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         book.writestr("xl/workbook.xml", f'<workbook xmlns="{_XLSX[1:-1]}" xmlns:r="{kinds}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(parts, 1)) + "</sheets></workbook>")
-        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{kinds}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(parts) + 1)) + "</Relationships>")
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{kinds}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(parts) + 1)) + f'<Relationship Id="rIdS" Type="{kinds}/styles" Target="styles.xml"/></Relationships>')
+        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{_XLSX[1:-1]}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>')
         for i, body in enumerate(parts.values(), 1):
             book.writestr(f"xl/worksheets/sheet{i}.xml", body)
+    put(spark, path, held.getvalue())
+
+
+def summary_counts(sheet: str, columns: list[str], column: str, values: list[str]) -> list[tuple[str, str]]:
+    """Summary rows of a sheet: its number of rows, and of rows with each value in a column, as formulas."""
+    at = columns.index(column)
+    letters = ""
+    while at >= 0:
+        letters, at = chr(65 + at % 26) + letters, at // 26 - 1
+    counted = [(f"{sheet}: {column} = {v}", f'=COUNTIF({sheet}!{letters}:{letters},"{v}")') for v in values]
+    return [(f"{sheet}: rows", f"=COUNTA({sheet}!A:A)-1"), *counted]
 
 
 # ---- arrays
@@ -220,6 +220,24 @@ def read_npy(spark: SparkSession, path: str, rows: int = 100_000) -> DataFrame:
     return spark.range(-(-shape[0] // rows)).mapInPandas(load, kind)
 
 
+def write_npy(df: DataFrame, path: str, key: str, value: str) -> int:
+    """One .npy file (float32) with the value, or the vector, of each row in order of the key; the number
+    of rows. The format is one file with one header, so the driver writes it, a partition at a time; path
+    is the driver's. A null value is NaN."""
+    rows = df.select(key, value).orderBy(key)
+    n = rows.count()
+    first = rows.first()
+    shape = (n,) if first is None or not isinstance(first[1], list) else (n, len(first[1]))
+    out = np.lib.format.open_memmap(path, "w+", np.float32, shape) if n else None
+    for at, row in enumerate(rows.toLocalIterator()):
+        out[at] = np.nan if row[1] is None else row[1]
+    if out is None:
+        np.save(path, np.zeros(0, np.float32))
+    else:
+        out.flush()
+    return n
+
+
 # ---- sinks
 
 
@@ -248,10 +266,12 @@ def json_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def markdown(title: str, df: DataFrame, most: int = 1000) -> str:
-    """A report table of at most `most` rows."""
-    rows = df.limit(most).collect()
+    """A report table of at most `most` rows; if there are more it says so."""
+    rows = df.limit(most + 1).collect()
+    more = [f"The first {most} rows of more."] if len(rows) > most else []
+    rows = rows[:most]
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([f"## {title}", "", *lines, *["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows], ""])
+    return "\n".join([f"## {title}", "", *lines, *["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows], *more, ""])
 
 
 def convert(spark: SparkSession, source: str, source_format: str, target: str, target_format: str) -> None:

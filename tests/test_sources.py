@@ -70,7 +70,7 @@ def test_text_tables(spark, tmp_path):
 
 def test_workbook_arrays_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a <b>", 1), (None, 2)], "wav_path string, n int")
-    tables.write_workbook(str(tmp_path / "w.xlsx"), {"Enroll": df, "Test": df.limit(1)}, [("rows", "=COUNTA(Enroll!A:A)-1")])
+    tables.write_workbook(spark, str(tmp_path / "w.xlsx"), {"Enroll": df, "Test": df.limit(1)}, [("rows", "=COUNTA(Enroll!A:A)-1")])
     got = tables.read_sheet(spark, str(tmp_path / "w.xlsx"), "Enroll", ["wav_path"]).collect()
     assert [tuple(r) for r in got] == [("a <b>", "1"), (None, "2")]
     np.save(tmp_path / "s.npy", np.arange(5, dtype=np.float32))
@@ -103,3 +103,42 @@ def test_resume_and_follow(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         incremental.follow(spark, str(tmp_path / "in"), "id long", str(tmp_path / "out"), str(tmp_path / "cp"), lambda d: d, "id").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+    spark.range(10, 15).write.mode("append").parquet(str(tmp_path / "in"))
+    incremental.follow(spark, str(tmp_path / "in"), "id long", str(tmp_path / "out"), str(tmp_path / "cp"), lambda d: d, "id").awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 15
+
+
+def test_resampling_keeps_tones():
+    for rate, to in ((44_100, 16_000), (8_000, 16_000), (48_000, 16_000), (16_000, 11_025)):
+        t, u = np.arange(rate // 2) / rate, np.arange(to // 2) / to
+        y = files.resample(np.sin(2 * np.pi * 440 * t) + 0.5 * np.sin(2 * np.pi * 1500 * t + 1), rate, to)
+        want = np.sin(2 * np.pi * 440 * u) + 0.5 * np.sin(2 * np.pi * 1500 * u + 1)
+        assert abs(len(y) - len(u)) <= 1
+        middle = slice(len(u) // 10, -len(u) // 10)
+        assert np.abs(y[: len(u)][middle] - want[middle]).max() < 0.01
+    high = np.sin(2 * np.pi * 15_000 * np.arange(44_100) / 44_100)
+    assert np.abs(files.resample(high, 44_100, 16_000)[500:-500]).max() < 0.02
+    assert len(files.resample(np.zeros(0), 8000, 16_000)) == 0
+
+
+def test_wav_encodings():
+    import struct
+
+    def build(code, bits, raw, channels=1, extensible=False, extra=b""):
+        form = struct.pack("<HHIIHH", 0xFFFE if extensible else code, channels, 8000, 0, 0, bits)
+        if extensible:
+            form += struct.pack("<HHIH14s", 22, bits, 0, code, b"")
+        body = b"WAVE" + b"fmt " + struct.pack("<I", len(form)) + form + extra + b"data" + struct.pack("<I", len(raw)) + raw
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+
+    cases = [(1, 24, (2**22).to_bytes(3, "little") + (-(2**23)).to_bytes(3, "little", signed=True), [0.5, -1]), (3, 32, np.array([0.25, -0.5], "<f4").tobytes(), [0.25, -0.5]), (3, 64, np.array([0.125], "<f8").tobytes(), [0.125]), (1, 32, np.array([2**30], "<i4").tobytes(), [0.5]), (1, 8, bytes([0, 192]), [-1, 0.5])]
+    for code, bits, raw, want in cases:
+        for extensible in (False, True):
+            data = build(code, bits, raw, extensible=extensible, extra=b"LIST" + struct.pack("<I", 3) + b"abc\0")
+            rate, x = files.wav_samples(data)
+            assert rate == 8000 and x[:, 0].tolist() == want
+            assert files.wav_header(data)[:4] == (code, 1, 8000, bits)
+    assert files.wav_samples(build(1, 16, np.array([1, 3, 5, 7], "<i2").tobytes(), channels=2))[1].mean(1).tolist() == [2 / 32768, 6 / 32768]
+    for bad in (b"", b"RIFFxxxxWAVE", build(7, 8, b"\0"), b"RIFF" + b"\0" * 60):
+        with pytest.raises(files.BadAudio):
+            files.wav_samples(bad)
