@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +34,12 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
+def replayable(df: DataFrame, name: str) -> DataFrame:
+    """df if its rows come from files in an order that a repeated task gives again; if they come out of an
+    exchange, whose order may change, df as a written table."""
+    return written(df, name) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def binary(column: pa.ChunkedArray | pa.Array) -> list:
     """A string column's values as UTF-8 bytes (None for null)."""
     return column.cast(pa.binary()).to_pylist()

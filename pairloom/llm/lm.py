@@ -1,19 +1,26 @@
-"""Language-model scoring: stupid backoff over word bigrams, counted on all documents.
+"""Language-model scoring: stupid backoff over word trigrams, counted on all documents.
 
-    S(w | v) = c(v w) / c(v)        if the bigram occurs at least min_count times
-             = alpha c(w) / N       otherwise;  the first word scores c(w) / N
+    S(w | u v) = c(u v w) / c(u v)   if the trigram occurs at least min_count times
+               = alpha S(w | v)      otherwise, and so on down to
+    S(w)       = c(w) / N
 
 Count tables are partitioned by hash, the documents' exploded n-grams meet them there, and each
-document's parts are summed. N-grams travel as packed columns, one block for each slice of documents
-and partition, so a row of the exchange holds thousands of them. Three exchanges follow each other:
-
-1. bigrams by their first word: gives c(v w) and c(v), scores the bigrams that occur often enough;
-2. of the others the second word, with the table of word counts: scores the backoff;
-3. partial sums by the documents they belong to.
-
-Frequent words and bigrams are no hot keys: their counts, a bounded table, are taken beforehand and go
-along with the tasks; frequent bigrams never travel, and those that only start with a frequent word
-are dealt by both words. Logarithms are whole millionths, so sums do not depend on their order.
+document's parts are summed. Every word of a document gives one triple: itself as the middle word v,
+the word u before it and the word w after it. All triples of one v meet in one partition, and as c(u v w),
+c(u v), c(v w) and c(v) all count triples of that v, one exchange serves both orders:
+
+1. triples by their middle word: trigrams, and bigrams of all but frequent middle words;
+2. what a frequent middle word leaves over, by bigram: its triples are dealt by (u, v) instead, or by
+   all three words if that pair is frequent too, so c(v w) is added up here;
+3. what is left, by its last word, with the table of word counts: unigrams;
+4. partial sums by the documents they belong to.
+
+N-grams travel as packed columns, one block for each slice of documents and partition, so a row of an
+exchange holds thousands of them; common words, a bounded table, travel as 16-bit ranks. Frequent
+words, bigrams and trigrams are no hot keys: their counts, bounded tables, are taken beforehand and go
+along with the tasks, and frequent trigrams never travel. Between the exchanges tables are written, so
+a lost executor costs its tasks only. Logarithms are whole millionths, so sums do not depend on their
+order.
 """
 
 from __future__ import annotations
@@ -29,18 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .common import binary, n_partitions, rounds
+from .common import binary, n_partitions, quoted, replayable, rounds
 from .shingling import words
 
 MASK = np.uint64((1 << 48) - 1)
-END = MASK
-ENTRIES = 2_000_000  # bigrams a partition, about
+END, BEGIN = MASK, MASK - np.uint64(1)
+ENTRIES = 1_500_000  # triples a partition, about
 LEAST = 200_000  # and no fewer for the sake of parallelism
-HOT = 200_000  # at most so many frequent words, and as many bigrams
+HOT = 200_000  # at most so many frequent words, and as many bigrams and trigrams
+COMMON = (1 << 16) - 3  # words that travel as ranks
 SLICE_BYTES = 2 << 20
 UNIT = 1e6
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-BIGRAMS, FIRST, BACK, COUNTS, SUMS, DOCUMENT = range(6)
+TRIPLES, PAIRS, PAIR_COUNTS, LAST, COUNTS, SUMS, DOCUMENT = range(7)
 _NAMES = ["part", "kind", "base", "n", "packed", "key"]
 
 
@@ -53,7 +61,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _bigram(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of two words, or of a pair's hash and a word."""
     return _mix(v * _M1 + w) ^ (w * _M2)
 
 
@@ -61,25 +70,54 @@ def word_ids(text: bytes | None) -> np.ndarray:
     """48 bits of each word's XXH64 (A-Z in lower case, words between ASCII white space)."""
     w = words(text or b"")
     ids = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)) & MASK
-    ids[ids == END] -= np.uint64(1)
+    ids[ids >= BEGIN] -= np.uint64(2)
     return ids
 
 
-def _pack(*columns: tuple[np.ndarray, int]) -> bytes:
-    """Columns of unsigned numbers below 256 ** width, byte by byte, compressed."""
-    planes = [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes() for c, width in columns]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
-
-
-def _unpack(packed: bytes, n: int, *widths: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(-1, n)
-    out, at = [], 0
-    for width in widths:
-        column = np.zeros((n, 8), np.uint8)
-        column[:, :width] = raw[at : at + width].T
-        out.append(column.view("<u8").ravel())
-        at += width
-    return out
+def _planes(x: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplanes(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = raw[: n * width].reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+class Words:
+    """Packs columns: words as 16-bit ranks among the common ones, or if they are none of these as the
+    6 bytes of their ids; numbers below 256 ** width byte by byte; all compressed."""
+
+    def __init__(self, common: list[int]) -> None:
+        """common: ids from the most frequent on, at most COMMON."""
+        ids = np.array([*common[:COMMON], int(BEGIN), int(END)], np.uint64)
+        order = np.argsort(ids)
+        self.ids, self.ranks, self.by_rank = ids[order], (order + 1).astype(np.uint64), np.concatenate([np.zeros(1, np.uint64), ids])
+
+    def pack(self, texts: tuple[np.ndarray, ...], *numbers: tuple[np.ndarray, int]) -> bytes:
+        out = []
+        for w in texts:
+            at = np.minimum(np.searchsorted(self.ids, w), len(self.ids) - 1)
+            ranks = np.where(self.ids[at] == w, self.ranks[at], np.uint64(0))
+            out += [_planes(ranks, 2), _planes(w[ranks == 0], 6)]
+        out += [_planes(x, width) for x, width in numbers]
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+    def unpack(self, packed: bytes, n: int, texts: int, *widths: int) -> list[np.ndarray]:
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+        out, at = [], 0
+        for _ in range(texts):
+            ranks = _unplanes(raw[at:], n, 2)
+            at += 2 * n
+            rare = ranks == 0
+            w, k = self.by_rank[ranks.astype(np.int64)], int(rare.sum())
+            w[rare] = _unplanes(raw[at:], k, 6)
+            at += 6 * k
+            out.append(w)
+        for width in widths:
+            out.append(_unplanes(raw[at:], n, width))
+            at += width * n
+        return out
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list]]:
@@ -94,15 +132,17 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list]]:
         yield start, texts[start:]
 
 
-def _pairs(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and second words and documents of all bigrams of the texts, the last word with END; the
-    documents that have words; all documents' lengths."""
+def _triples(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words before, middle words and words after of all words of the texts (BEGIN and END at the ends
+    of a text), their documents, and all documents' lengths."""
     ids = [word_ids(t) for t in texts]
     sizes = np.array([len(x) for x in ids], np.int64)
     v = np.concatenate([np.zeros(0, np.uint64), *ids])
-    w = np.concatenate([v[1:], v[:1]]) if len(v) else v.copy()
-    w[np.cumsum(sizes)[sizes > 0] - 1] = END
-    return v, w, np.repeat(np.arange(len(texts)), sizes), np.flatnonzero(sizes), sizes
+    u, w = np.concatenate([v[:1], v[:-1]]), np.concatenate([v[1:], v[:1]])
+    last = np.cumsum(sizes)[sizes > 0] - 1
+    w[last] = END
+    u[last - sizes[sizes > 0] + 1] = BEGIN
+    return u, v, w, np.repeat(np.arange(len(texts)), sizes), sizes
 
 
 class _Known:
@@ -122,30 +162,50 @@ class _Known:
         return known, np.where(known, self.logs[at], 0)
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(kind, id, n): kind 0 all words and their counts, kind 1 bigrams that are frequent in some
-    slice, with the counts of those slices. Each task sums its own slices first."""
+def _times(x: np.ndarray) -> np.ndarray:
+    """Of each entry how often it occurs."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(x) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[new, len(x)])
+    out = np.empty(len(x), np.int64)
+    out[order] = np.repeat(n, n)
+    return out
+
+
+def _hashes(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of (u, v), (v, w) and (u, v, w)."""
+    uv = _pair(u, v)
+    return uv, _pair(v, w), _pair(uv, w)
+
+
+def _counted(docs: DataFrame, order: int) -> DataFrame:
+    """(kind, id, n): kind 1 all words and their counts, kinds 2 and 3 bigrams and trigrams that are
+    frequent in some slice, with the counts of those slices. Each task sums its own slices first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], []]
+        held: list[list] = [[], [], []]
         waiting = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for kind in (0, 1):
-                if held[kind]:
-                    ids, where = np.unique(np.concatenate([x for x, _ in held[kind]]), return_inverse=True)
-                    n = np.bincount(where, np.concatenate([c for _, c in held[kind]])).astype(np.int64)
-                    held[kind] = []
+            for kind, found in enumerate(held, 1):
+                if found:
+                    ids, where = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+                    n = np.bincount(where, np.concatenate([c for _, c in found])).astype(np.int64)
+                    found.clear()
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids.view(np.int64)), pa.array(n)], ["kind", "id", "n"])
 
         for batch in batches:
             for _, texts in _slices(batch, 0):
-                v, w, *_ = _pairs(texts)
+                u, v, w, *_ = _triples(texts)
                 ids, n = np.unique(v, return_counts=True)
                 held[0].append((ids, n))
-                b, n2 = np.unique(_bigram(v, w)[w != END], return_counts=True)
-                often = n2 >= max(16, len(v) // 4000)
-                held[1].append((b[often], n2[often]))
+                _, vw, uvw = _hashes(u, v, w)
+                inside = w != END
+                for kind, x in ((1, vw[inside]), (2, uvw[inside & (u != BEGIN)]))[: order - 1]:
+                    x, n2 = np.unique(x, return_counts=True)
+                    often = n2 >= max(16, len(v) // 4000)
+                    held[kind].append((x[often], n2[often]))
                 waiting += len(ids)
                 if waiting > 1_500_000:
                     yield from out()
@@ -155,41 +215,55 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind int, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n"))
 
 
-def _exact(docs: DataFrame, bigrams: np.ndarray) -> list[tuple[int, int]]:
-    """How often each of these bigrams (sorted) occurs."""
+def _exact(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[int, list[tuple[int, int]]]:
+    """How often each of these bigrams (2) and trigrams (3) (sorted hashes) occurs."""
+    if not any(map(len, wanted.values())):
+        return {k: [] for k in wanted}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(bigrams), np.int64)
+        total = {k: np.zeros(len(x), np.int64) for k, x in wanted.items()}
         for batch in batches:
             for _, texts in _slices(batch, 0):
-                v, w, *_ = _pairs(texts)
-                b = _bigram(v, w)[w != END]
-                at = np.minimum(np.searchsorted(bigrams, b), len(bigrams) - 1)
-                total += np.bincount(at[bigrams[at] == b], minlength=len(bigrams))
-        yield pa.RecordBatch.from_arrays([pa.array(bigrams.view(np.int64)), pa.array(total)], ["id", "n"])
-
-    return [tuple(r) for r in docs.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()] if len(bigrams) else []
-
-
-def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, key: str = "doc_id", text: str = "text", entries: int = ENTRIES) -> DataFrame:
-    """key, n_tokens, log_score (natural logarithms summed over the words) and perplexity of each row.
+                u, v, w, *_ = _triples(texts)
+                _, vw, uvw = _hashes(u, v, w)
+                inside = w != END
+                for k, x in ((2, vw[inside]), (3, uvw[inside & (u != BEGIN)])):
+                    if k in wanted and len(wanted[k]):
+                        at = np.minimum(np.searchsorted(wanted[k], x), len(wanted[k]) - 1)
+                        total[k] += np.bincount(at[wanted[k][at] == x], minlength=len(wanted[k]))
+        for k, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(wanted[k].view(np.int64)), pa.array(n)], ["kind", "id", "n"])
+
+    found: dict[int, list[tuple[int, int]]] = {k: [] for k in wanted}
+    for r in docs.mapInArrow(run, "kind int, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n")).collect():
+        found[r["kind"]].append((r["id"], r["n"]))
+    return found
+
+
+def score(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.4, key: str = "doc_id", text: str = "text", entries: int = ENTRIES) -> DataFrame:
+    """key, n_tokens, log_score (natural logarithms summed over the words) and perplexity of each row, by
+    n-grams of up to `order` words (2 or 3).
 
     Counts are of all rows, repeated ones included. A null or empty text has no words: log_score 0,
-    perplexity null. Null and repeated keys are rows like any other; no rows give no rows; other
-    columns are not read.
+    perplexity null. Very long texts are read whole. Null and repeated keys are rows like any other; no
+    rows give no rows; other columns are not read. Documents that come out of an exchange are written
+    first, as rows are numbered by their place.
     """
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
-    key_type = docs.select(key).limit(0).toArrow().schema.field(0).type
-    texts = docs.select(F.col(text).alias("text"))
-    table = written(_counted(texts), "words")
-    total = table.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
+    docs = replayable(docs.select(quoted(key).alias("key"), quoted(text).alias("text")), "texts")
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["key"]
+    key_type = docs.select("key").limit(0).toArrow().schema.field(0).type
+    table = written(_counted(docs.select("text"), order), "words")
+    total = table.where("kind = 1").agg(F.sum("n")).first()[0] or 0
     # as many partitions as their size asks for, or the cluster has, if that leaves them worth a task
     parts = max(1, -(-total // entries), min(n_partitions(spark), total // LEAST))
-    often = max(2, total // (16 * parts))
-    frequent = [table.where(f"kind = {k} and n >= {often}").orderBy(F.desc("n"), "id").limit(HOT).select("id", "n").collect() for k in (0, 1)]
-    hot_words = _Known([tuple(r) for r in frequent[0]])
-    exact = _exact(texts, np.sort(np.array([r[0] for r in frequent[1]], np.int64).view(np.uint64)))
-    hot_bigrams = _Known([(b, n) for b, n in exact if n >= min_count])
+    often = max(min_count, total // (16 * parts))
+    top = lambda k, least, most: [tuple(r) for r in table.where((F.col("kind") == k) & (F.col("n") >= least)).orderBy(F.desc("n"), "id").limit(most).select("id", "n").collect()]
+    coded = Words([i for i, _ in top(1, 2, COMMON)])
+    one = _Known(top(1, often, HOT))
+    exact = _exact(docs.select("text"), {k: np.sort(np.array([i for i, _ in top(k, often, HOT)], np.int64).view(np.uint64)) for k in range(2, order + 1)})
+    two, three = (_Known([(i, n) for i, n in exact.get(k, []) if n >= often]) for k in (2, 3))
     all_log, backoff = int(_log(float(max(1, total)))), int(_log(alpha))
     schema = f"part long, kind int, base long, n int, packed binary, key {kind}"
 
@@ -198,119 +272,143 @@ def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, key: str = "d
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), key_type]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], _NAMES)
 
-    def by_part(part: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        cuts = np.flatnonzero(np.diff(part[order])) + 1
-        for piece in np.split(order, cuts) if len(order) else []:
+    def dealt(hashes: np.ndarray, *by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(partition, places) of entries dealt by their hashes, in each partition in order of `by`."""
+        part = (_mix(hashes) % np.uint64(parts)).astype(np.int64)
+        order_ = np.lexsort((*by, part))
+        cuts = np.flatnonzero(np.diff(part[order_])) + 1
+        for piece in np.split(order_, cuts) if len(order_) else []:
             yield int(part[piece[0]]), piece
 
     def sums(ids: np.ndarray, value: np.ndarray) -> Iterator[tuple]:
         """Sums of value by document, a block for each input partition of the documents."""
+        if not len(ids):
+            return
         docs_, where = np.unique(ids, return_inverse=True)
         value = np.bincount(where, value, len(docs_)).astype(np.int64)
         ranges = (docs_ >> np.uint64(32)).astype(np.int64)
-        for r, piece in by_part(ranges, np.arange(len(docs_))):
-            yield (parts + r, SUMS, r, len(piece), _pack((docs_[piece] & np.uint64(0xFFFFFFFF), 4), ((-value[piece]).astype(np.int64).view(np.uint64), 8)), None)
+        for piece in np.split(np.arange(len(docs_)), np.flatnonzero(np.diff(ranges)) + 1):
+            r = int(ranges[piece[0]])
+            yield (parts + r, SUMS, r, len(piece), coded.pack((), (docs_[piece] & np.uint64(0xFFFFFFFF), 4), ((-value[piece]).view(np.uint64), 8)), None)
+
+    def last_words(w: np.ndarray, ids: np.ndarray, alphas: np.ndarray) -> Iterator[tuple]:
+        """Entries that score by their last word: frequent ones at once, others in exchange 3."""
+        hot, log_w = one.look(w)
+        yield from sums(ids[hot], alphas[hot] * backoff + log_w[hot] - all_log)
+        w, ids, alphas = w[~hot], ids[~hot], alphas[~hot]
+        for p, x in dealt(w, w):
+            yield (p, LAST, 0, len(x), coded.pack((w[x],), (ids[x], 8), (alphas[x].astype(np.uint64), 1)), None)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for start, some in _slices(batch, 1):
-                v, w, doc, filled, sizes = _pairs(some)
+                u, v, w, doc, sizes = _triples(some)
                 base = (here << 32) + row + start
                 out = [(parts + here, DOCUMENT, base + i, int(n), b"", keys[start + i]) for i, n in enumerate(sizes)]
-                first = v[np.r_[0, np.cumsum(sizes)[:-1]][filled]] if len(filled) else v[:0]
-                known, logs = hot_words.look(first)
-                out += sums(np.uint64(base) + filled[known].astype(np.uint64), logs[known] - all_log)
-                out += back(FIRST, first[~known], np.uint64(base) + filled[~known].astype(np.uint64), np.ones((~known).sum(), np.uint64))
-                b = _bigram(v, w)
-                known_b, log_b = hot_bigrams.look(b)
-                known_b &= w != END
-                hot_v, log_v = hot_words.look(v)
-                known_b &= hot_v
-                out += sums(np.uint64(base) + doc[known_b].astype(np.uint64), log_b[known_b] - log_v[known_b])
-                ship = ~known_b & ~(hot_v & (w == END))
-                v, w, doc, b, hot_v = v[ship], w[ship], doc[ship], b[ship], hot_v[ship]
-                order = np.lexsort((doc, w, v))
-                v, w, doc, b, hot_v = v[order], w[order], doc[order], b[order], hot_v[order]
-                new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])]) if len(v) else np.zeros(0, np.int64)
-                times = np.diff(np.r_[new, len(v)])
-                v, w, doc, b, hot_v = v[new], w[new], doc[new], b[new], hot_v[new]
-                part = (np.where(hot_v, _mix(b), _mix(v)) % np.uint64(parts)).astype(np.int64)
-                for p, piece in by_part(part, np.argsort(part, kind="stable")):
-                    out.append((p, BIGRAMS, base, len(piece), _pack((v[piece], 6), (w[piece], 6), (doc[piece], 4), (times[piece], 4)), None))
+                first = u == BEGIN
+                out += last_words(v[first], np.uint64(base) + doc[first].astype(np.uint64), np.zeros(first.sum(), np.int64))
+                if order == 2:
+                    u = np.full(len(v), BEGIN)
+                uv, vw, uvw = _hashes(u, v, w)
+                (hot_v, log_v), (hot_uv, log_uv), (hot_vw, log_vw), (hot_uvw, log_uvw) = one.look(v), two.look(uv), two.look(vw), three.look(uvw)
+                hot_uv &= hot_v & (u != BEGIN)
+                hot_vw &= hot_v & (w != END)
+                hot_uvw &= hot_uv & hot_vw
+                whole = hot_vw & (u == BEGIN)  # bigrams that start a text
+                out += sums(np.uint64(base) + doc[hot_uvw].astype(np.uint64), log_uvw[hot_uvw] - log_uv[hot_uvw])
+                out += sums(np.uint64(base) + doc[whole].astype(np.uint64), log_vw[whole] - log_v[whole])
+                ship = ~hot_uvw & ~whole & ~(hot_v & (w == END) & (hot_uv | (u == BEGIN)))
+                by = np.where(hot_v, np.where(hot_uv, uvw, np.where(u == BEGIN, vw, uv)), v)[ship]
+                u, v, w, doc = u[ship], v[ship], w[ship], doc[ship]
+                for p, x in dealt(by, v):
+                    out.append((p, TRIPLES, base, len(x), coded.pack((v[x], w[x], u[x]), (doc[x].astype(np.uint64), 2)), None))
                 yield rows(out)
             row += batch.num_rows
 
-    def back(kind: int, w: np.ndarray, ids: np.ndarray, times: np.ndarray) -> Iterator[tuple]:
-        part = (_mix(w) % np.uint64(parts)).astype(np.int64)
-        for p, piece in by_part(part, np.lexsort((w, part))):
-            yield (p, kind, 0, len(piece), _pack((w[piece], 6), (ids[piece], 8), (times[piece], 4)), None)
-
-    def passed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(held: list[pa.RecordBatch], kind_: int) -> Iterator[tuple]:
         for batch in held:
-            yield batch.select(_NAMES)
+            for k, base, n, packed in zip(*[batch.column(c).to_pylist() for c in ("kind", "base", "n", "packed")]):
+                if k == kind_:
+                    yield base, n, packed
 
-    def of(held: list[pa.RecordBatch], *kinds: int) -> Iterator[tuple]:
-        for batch in held:
-            for kind, base, n, packed in zip(*[batch.column(c).to_pylist() for c in ("kind", "base", "n", "packed")]):
-                if kind in kinds:
-                    yield kind, base, n, packed
+    def joined(parts_: list[list[np.ndarray]], n: int) -> list[np.ndarray]:
+        return [np.concatenate([np.zeros(0, np.uint64), *[x[i] for x in parts_]]) for i in range(n)]
 
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, held in rounds(batches, "part"):
             if part >= parts:
-                yield from passed(held)
-                continue
-            yield from passed([b.filter(pa.array([k != BIGRAMS for k in b.column("kind").to_pylist()], pa.bool_())) for b in held])
-            blocks = [(base, *_unpack(packed, n, 6, 6, 4, 4)) for _, base, n, packed in of(held, BIGRAMS)]
-            if not blocks:
+                for batch in held:
+                    yield batch.select(_NAMES)
                 continue
-            v, w, times = (np.concatenate([x[i] for x in blocks]) for i in (1, 2, 4))
-            ids = np.concatenate([np.uint64(x[0]) + x[3] for x in blocks])
-            del blocks
-            order = np.lexsort((w, v))
-            v, w, times, ids = v[order], w[order], times[order].astype(np.int64), ids[order]
-            new_v = np.r_[True, v[1:] != v[:-1]]
-            new_b = new_v | np.r_[True, w[1:] != w[:-1]]
-            count_b = np.add.reduceat(times, np.flatnonzero(new_b))[np.cumsum(new_b) - 1]
-            count_v = np.add.reduceat(times, np.flatnonzero(new_v))[np.cumsum(new_v) - 1]
-            hot, log_hot = hot_words.look(v)
-            log_v = np.where(hot, log_hot, _log(count_v))
-            found = (count_b >= min_count) & (w != END)
-            out = list(sums(ids[found], times[found] * (_log(count_b[found]) - log_v[found])))
+            for batch in held:  # words that start a text
+                yield batch.filter(pa.array([k == LAST for k in batch.column("kind").to_pylist()], pa.bool_())).select(_NAMES)
+            blocks = [(base, coded.unpack(packed, n, 3, 2)) for base, n, packed in of(held, TRIPLES)]
+            ids = np.concatenate([np.zeros(0, np.uint64), *[np.uint64(base) + x[3] for base, x in blocks]])
+            v, w, u = joined([x for _, x in blocks], 3)
+            del blocks, held
+            uv, vw, uvw = _hashes(u, v, w)
+            (hot_v, log_v), (hot_uv, log_uv), (hot_vw, log_vw) = one.look(v), two.look(uv), two.look(vw)
+            n_uvw = _times(uvw)
+            found = (n_uvw >= min_count) & (u != BEGIN) & (w != END)
+            log_uv = np.where(hot_uv & hot_v, log_uv, _log(_times(uv)))
+            out = list(sums(ids[found], _log(n_uvw[found]) - log_uv[found]))
+            # what bigrams of frequent middle words count, found or not
+            own = hot_v & ~hot_vw & (w != END)
+            x, first, n = np.unique(vw[own], return_index=True, return_counts=True)
+            vo, wo = v[own][first], w[own][first]
+            for p, at in dealt(x, vo):
+                out.append((p, PAIR_COUNTS, 0, len(at), coded.pack((vo[at], wo[at]), (n[at].astype(np.uint64), 5)), None))
+            n_vw, n_v = _times(vw), _times(v)
+            alphas = (u != BEGIN).astype(np.int64)
             rest = ~found & (w != END)
-            w, ids, times = w[rest], ids[rest], times[rest]
-            hot, log_hot = hot_words.look(w)
-            out += sums(ids[hot], times[hot] * (backoff + log_hot[hot] - all_log))
-            out += back(BACK, w[~hot], ids[~hot], times[~hot].astype(np.uint64))
+            later = rest & own
+            for p, at in dealt(vw[later], v[later]):
+                out.append((p, PAIRS, 0, len(at), coded.pack((v[later][at], w[later][at]), (ids[later][at], 8), (alphas[later][at].astype(np.uint64), 1)), None))
+            rest &= ~later
+            here = rest & (hot_vw & hot_v | ~hot_v & (n_vw >= min_count))
+            log_v = np.where(hot_v, log_v, _log(n_v))
+            log_vw = np.where(hot_vw & hot_v, log_vw, _log(n_vw))
+            out += sums(ids[here], alphas[here] * backoff + log_vw[here] - log_v[here])
+            rest &= ~here
+            out += last_words(w[rest], ids[rest], alphas[rest] + 1)
+            yield rows(out)
+
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in rounds(batches, "part"):
+            v, w, n = joined([coded.unpack(packed, n, 2, 5) for _, n, packed in of(held, PAIR_COUNTS)], 3)
+            known, where = np.unique(_pair(v, w), return_inverse=True)
+            count = np.bincount(where, n.astype(np.float64), len(known)).astype(np.int64)
+            v, w, ids, alphas = joined([coded.unpack(packed, n, 2, 8, 1) for _, n, packed in of(held, PAIRS)], 4)
+            n_vw = count[np.searchsorted(known, _pair(v, w))] if len(v) else np.zeros(0, np.int64)
+            alphas = alphas.astype(np.int64)
+            found = n_vw >= min_count
+            out = list(sums(ids[found], alphas[found] * backoff + _log(n_vw[found]) - one.look(v[found])[1]))
+            out += last_words(w[~found], ids[~found], alphas[~found] + 1)
             yield rows(out)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            part = (_mix(w) % np.uint64(parts)).astype(np.int64)
-            yield rows([(p, COUNTS, 0, len(x), _pack((w[x], 6), (n[x].view(np.uint64), 8)), None) for p, x in by_part(part, np.argsort(part, kind="stable"))])
+            cold = ~one.look(w)[0]
+            w, n = w[cold], n[cold]
+            yield rows([(p, COUNTS, 0, len(x), coded.pack((w[x],), (n[x].view(np.uint64), 6)), None) for p, x in dealt(w, w)])
 
-    def backoffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, held in rounds(batches, "part"):
-            if part >= parts:
-                yield from passed(held)
-                continue
-            counts = [_unpack(packed, n, 6, 8) for _, _, n, packed in of(held, COUNTS)]
-            w = np.concatenate([np.zeros(0, np.uint64), *[x[0] for x in counts]])
-            logs = _log(np.concatenate([np.zeros(0, np.uint64), *[x[1] for x in counts]]).astype(np.float64))
-            order = np.argsort(w)
-            w, logs = w[order], logs[order]
-            for kind, _, n, packed in of(held, FIRST, BACK):
-                x, ids, times = _unpack(packed, n, 6, 8, 4)
-                yield rows(list(sums(ids, times.astype(np.int64) * (logs[np.searchsorted(w, x)] + (backoff if kind == BACK else 0) - all_log))))
+    def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in rounds(batches, "part"):
+            w, n = joined([coded.unpack(packed, n, 1, 6) for _, n, packed in of(held, COUNTS)], 2)
+            order_ = np.argsort(w)
+            w, logs = w[order_], _log(n[order_].astype(np.float64))
+            for _, n, packed in of(held, LAST):
+                x, ids, alphas = coded.unpack(packed, n, 1, 8, 1)
+                yield rows(list(sums(ids, alphas.astype(np.int64) * backoff + logs[np.searchsorted(w, x)] - all_log)))
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in rounds(batches, "part"):
             ids, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for _, _, n, packed in of(held, SUMS):
-                low, value = _unpack(packed, n, 4, 8)
+            for _, n, packed in of(held, SUMS):
+                low, value = coded.unpack(packed, n, 0, 4, 8)
                 ids.append(low)
                 values.append(-value.view(np.int64))
             ids, where = np.unique(np.concatenate(ids), return_inverse=True)
@@ -324,11 +422,16 @@ def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, key: str = "d
                 perplexity = np.exp(np.minimum(700, -log / np.maximum(1, n)))
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n.astype(np.int64)), pa.array(log), pa.array(perplexity, mask=n == 0)], [key, "n_tokens", "log_score", "perplexity"])
 
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(n_partitions(spark, min(2 * parts, 4096)), "part").sortWithinPartitions("part")
-
-    exploded = docs.select(key, text).mapInArrow(explode, schema)
-    after = dealt(exploded).mapInArrow(bigrams, schema)
-    rare = table.where("kind = 0").select("id", "n").mapInArrow(tables, schema)
-    after = dealt(after.unionByName(rare)).mapInArrow(backoffs, schema)
-    return dealt(after).mapInArrow(totals, f"`{key}` {kind}, n_tokens long, log_score double, perplexity double")
+    def by_part(df: DataFrame, n: int = parts) -> DataFrame:
+        """Each partition number's rows in a task of their own; numbers from n on share the tasks."""
+        return df.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("part")
+
+    level1 = written(by_part(docs.mapInArrow(explode, schema)).mapInArrow(trigrams, schema), "trigrams")
+    level2 = written(by_part(level1.where(f"kind in ({PAIRS}, {PAIR_COUNTS})")).mapInArrow(bigrams, schema), "bigrams")
+    rare = table.where("kind = 1").select("id", "n").mapInArrow(tables, schema)
+    waiting = level1.unionByName(level2).where(f"kind = {LAST}").unionByName(rare)
+    level3 = by_part(waiting).mapInArrow(unigrams, schema)
+    ends = level1.where(f"kind in ({SUMS}, {DOCUMENT})").unionByName(level2.where(f"kind = {SUMS}")).unionByName(level3)
+    ranges = (level1.where(f"kind = {DOCUMENT}").agg(F.max("part")).first()[0] or parts) - parts + 1
+    done = by_part(ends.withColumn("part", F.col("part") - parts), ranges).mapInArrow(totals, f"`{key}` {kind}, n_tokens long, log_score double, perplexity double")
+    return done

@@ -90,12 +90,16 @@ SELECT doc_id, item_id, CAST(count(DISTINCT s) AS INT) AS n_shared, CAST(any_val
 GROUP BY r, doc_id, item_id HAVING count(DISTINCT s) >= ceil(0.8 * any_value(n) - 1e-9)""",
     "op5_lm_score": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS_SQL}, []) AS w FROM documents),
-t AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS p FROM d), b AS (SELECT r, x, lag(x) OVER (PARTITION BY r ORDER BY p) AS v FROM t),
+t AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS p FROM d),
+b AS (SELECT r, x, lag(x) OVER (PARTITION BY r ORDER BY p) AS v, lag(x, 2) OVER (PARTITION BY r ORDER BY p) AS u FROM t),
 one AS (SELECT x, count(*) AS n, CAST(round(ln(count(*)) * 1e6) AS BIGINT) AS l FROM t GROUP BY 1),
 two AS (SELECT v, x, count(*) AS n, CAST(round(ln(count(*)) * 1e6) AS BIGINT) AS l FROM b WHERE v IS NOT NULL GROUP BY ALL),
+three AS (SELECT u, v, x, count(*) AS n, CAST(round(ln(count(*)) * 1e6) AS BIGINT) AS l FROM b WHERE u IS NOT NULL GROUP BY ALL),
 k AS (SELECT CAST(round(ln(count(*)) * 1e6) AS BIGINT) AS all_l, CAST(round(ln(0.4) * 1e6) AS BIGINT) AS back_l FROM t),
-s AS (SELECT r, sum(CASE WHEN two.n >= 2 THEN two.l - c.l WHEN b.v IS NULL THEN one.l - all_l ELSE one.l - all_l + back_l END) / 1e6 AS log_score
-    FROM b JOIN one USING (x) LEFT JOIN two ON two.v = b.v AND two.x = b.x LEFT JOIN one c ON c.x = b.v, k GROUP BY r)
+s AS (SELECT r, sum(CASE WHEN three.n >= 2 THEN three.l - c2.l WHEN two.n >= 2 THEN two.l - c1.l + CASE WHEN b.u IS NULL THEN 0 ELSE back_l END
+      ELSE one.l - all_l + CASE WHEN b.v IS NULL THEN 0 WHEN b.u IS NULL THEN back_l ELSE 2 * back_l END END) / 1e6 AS log_score
+    FROM b JOIN one USING (x) LEFT JOIN two ON two.v = b.v AND two.x = b.x LEFT JOIN one c1 ON c1.x = b.v
+    LEFT JOIN three ON three.u = b.u AND three.v = b.v AND three.x = b.x LEFT JOIN two c2 ON c2.v = b.u AND c2.x = b.v, k GROUP BY r)
 SELECT doc_id, len(w) AS n_tokens, coalesce(log_score, 0) AS log_score, CASE WHEN len(w) > 0 THEN round(exp(-log_score / len(w)), 3) END AS perplexity FROM d LEFT JOIN s USING (r)""",
     "op8_shard": """
 WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),

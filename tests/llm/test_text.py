@@ -230,35 +230,43 @@ def test_repeated_items_and_rows_keep_their_number(spark):
 # ---- language model
 
 
-@pytest.mark.parametrize("entries", [3_000_000, 300])
-def test_scores_equal_brute_force(spark, entries):
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("entries", [3_000_000, 3000, 300])
+def test_scores_equal_brute_force(spark, entries, order):
     r = np.random.default_rng(8)
     words = [f"w{i}" for i in range(300)]
-    rows = [(i, " ".join(r.choice(words, int(r.integers(0, 120)), p=1 / np.arange(1, 301) / (1 / np.arange(1, 301)).sum()))) for i in range(120)] + [(7, "Once ONCE upon"), (None, BASE), (None, None), (500, LONG), (501, " ".join(["the end"] * 400))]
+    rows = [(i, " ".join(r.choice(words, int(r.integers(0, 120)), p=1 / np.arange(1, 301) / (1 / np.arange(1, 301)).sum()))) for i in range(120)] + [(7, "Once ONCE upon"), (None, BASE), (None, None), (500, LONG), (501, " ".join(["the end"] * 400)), (502, " ".join(["of the people by the"] * 300)), (503, "the end"), (504, "solo")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("part", "kind", "base", "n", "packed", "key")})
-    one, two, docs = collections.Counter(), collections.Counter(), []
+    counts, docs = [collections.Counter() for _ in range(4)], []
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        one.update(w)
-        two.update(zip(w, w[1:]))
+        for n in (1, 2, 3):
+            counts[n].update(zip(*[w[k:] for k in range(n)]))
         docs.append((i, w))
-    total = sum(one.values())
-    want = []
-    for i, w in docs:
-        s = 0.0
-        for k, x in enumerate(w):
-            pair = (w[k - 1], x) if k else None
-            s += math.log(two[pair] / one[w[k - 1]]) if k and two[pair] >= 2 else math.log(one[x] / total) + (math.log(0.4) if k else 0)
-        want.append((-1 if i is None else i, len(w), s))
-    got = sorted((-1 if x["doc_id"] is None else x["doc_id"], x["n_tokens"], x["log_score"]) for x in lm.score(df, entries=entries).collect())
-    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
-    assert all(abs(g[2] - w[2]) <= 2e-6 * max(1, w[1]) for g, w in zip(got, sorted(want)))
-    assert lm.score(df.limit(0)).count() == 0
+    total = sum(counts[1].values())
+
+    def log(context, x):
+        if not context:
+            return math.log(counts[1][x,] / total)
+        n = len(context) + 1
+        if counts[n][*context, x] >= 2:
+            return math.log(counts[n][*context, x] / counts[n - 1][context])
+        return math.log(0.4) + log(context[1:], x)
+
+    want = sorted((-1 if i is None else i, len(w), sum(log(tuple(w[max(0, k - order + 1) : k]), x) for k, x in enumerate(w))) for i, w in docs)
+    for source in (df, df.repartition(5)):
+        got = sorted((-1 if x["doc_id"] is None else x["doc_id"], x["n_tokens"], x["log_score"]) for x in lm.score(source, order, entries=entries).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert all(abs(g[2] - w[2]) <= 3e-6 * max(1, w[1]) for g, w in zip(got, want))
+    assert lm.score(df.limit(0), order).count() == 0
 
 
 @settings(max_examples=20)
-@given(st.lists(st.tuples(st.integers(0, 2**48 - 1), st.integers(0, 2**16 - 1)), min_size=1))
-def test_packed_columns_come_back(rows):
+@given(st.lists(st.tuples(st.integers(0, 2**48 - 1), st.integers(0, 2**16 - 1)), min_size=1), st.integers(0, 5))
+def test_packed_columns_come_back(rows, common):
     a, b = (np.array(x, np.uint64) for x in zip(*rows))
-    x, y = lm._unpack(lm._pack((a, 6), (b, 2)), len(a), 6, 2)
-    assert (x == a).all() and (y == b).all()
+    a = np.concatenate([a, [lm.END, lm.BEGIN]])
+    b = np.concatenate([b, [1, 2]]).astype(np.uint64)
+    coded = lm.Words(list(dict.fromkeys(a[:common].tolist())))
+    x, y, z = coded.unpack(coded.pack((a, a[::-1]), (b, 2)), len(a), 2, 2)
+    assert (x == a).all() and (y == a[::-1]).all() and (z == b).all()
