@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,14 @@ from .common import binary
 
 PASSAGE_WORDS = 64
 SAMPLE = 2000
+#: Vectors of a document at most when a model is trained: of more passages neighbours are averaged.
+BAG = 32
 _SINGLE = b"#$%&*!|.,;:'\"=@+-/()_<>?\\[]{}~^`"
 _CLASSES = len(_SINGLE) + 8
-DIM = _CLASSES + 4
+#: Buckets of hashed runs of three bytes, of words and of neighbouring words.
+GRAMS, WORDS, PAIRS = 96, 96, 64
+_STATISTICS = 4
+DIM = _CLASSES + GRAMS + WORDS + PAIRS + _STATISTICS
 _BATCH_BYTES = 1 << 20
 
 
@@ -44,29 +50,54 @@ def _byte_classes() -> np.ndarray:
 _CLASS = _byte_classes()
 
 
+def _shares(place: np.ndarray, bucket: np.ndarray, parts: int, buckets: int) -> np.ndarray:
+    """Square roots of each part's shares of entries by bucket."""
+    n = np.bincount(place * buckets + bucket, minlength=parts * buckets).reshape(parts, buckets)
+    return np.sqrt(n / np.maximum(1, n.sum(1, keepdims=True)))
+
+
+def _spread(x: np.ndarray, buckets: int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
 def encode_passages(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of the texts, in order, and the number of passages of each text (at
     least one: an empty text is one empty passage). A passage is PASSAGE_WORDS words; features are the
-    shares of byte classes, of distinct words and of words that repeat the one before, mean word
-    length and the passage's fill."""
-    counts, parts, distinct, fills, repeats = [], [], [], [], []
+    shares of byte classes, of hashed runs of three bytes, of hashed words and neighbouring words, of
+    distinct words and of words that repeat the one before, mean word length and the passage's fill."""
+    counts, parts, distinct, fills, repeats, all_words = [], [], [], [], [], []
     for text in texts:
         w = (text or b"").split()
         n = max(1, -(-len(w) // PASSAGE_WORDS))
         counts.append(n)
+        all_words += w
         for i in range(0, n * PASSAGE_WORDS, PASSAGE_WORDS):
             p = w[i : i + PASSAGE_WORDS]
             parts.append(b" ".join(p))
             distinct.append(len(set(p)) / max(1, len(p)))
             fills.append(len(p))
             repeats.append(sum(map(bytes.__eq__, p, p[1:])) / max(1, len(p)))
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    classes = _CLASS[np.frombuffer(b"".join(parts), np.uint8)].astype(np.int64)
-    at = classes + np.repeat(np.arange(len(parts)) * _CLASSES, sizes)
-    shares = np.bincount(at, minlength=len(parts) * _CLASSES).reshape(-1, _CLASSES) / np.maximum(1, sizes)[:, None]
-    fill = np.array(fills)
+    n, fill = len(parts), np.array(fills)
+    sizes = np.fromiter(map(len, parts), np.int64, n)
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    place = np.repeat(np.arange(n), sizes)
+    inside = place[2:] == place[:-2]  # runs of three bytes of one passage
+    wide = raw.astype(np.uint64)
+    runs = (wide[:-2] | wide[1:-1] << np.uint64(8) | wide[2:] << np.uint64(16))[inside]
+    ids = np.fromiter(map(xxhash.xxh64_intdigest, all_words), np.uint64, len(all_words))
+    of = np.repeat(np.arange(n), fill)
+    beside = of[1:] == of[:-1]
+    pairs = (ids[:-1] * np.uint64(31) + ids[1:])[beside]
     extra = np.stack([np.array(distinct), np.array(repeats), sizes / np.maximum(1, fill) / 10, np.log1p(fill) / np.log1p(PASSAGE_WORDS)], 1)
-    return np.concatenate([np.sqrt(shares), extra], 1).astype(np.float32), np.array(counts)
+    found = [_shares(place, _CLASS[raw].astype(np.int64), n, _CLASSES), _shares(place[:-2][inside], _spread(runs, GRAMS), n, GRAMS), _shares(of, _spread(ids, WORDS), n, WORDS), _shares(of[:-1][beside], _spread(pairs, PAIRS), n, PAIRS), extra]
+    return np.concatenate(found, 1).astype(np.float32), np.array(counts)
+
+
+def bag(x: np.ndarray, most: int = BAG) -> np.ndarray:
+    """A document's vectors, at most `most`: of more, like numbers of neighbours are averaged, so all of
+    the text counts."""
+    return x if len(x) <= most else np.stack([part.mean(0) for part in np.array_split(x, most)]).astype(x.dtype)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -97,26 +128,29 @@ class AttentionModel:
         """Rounded, so that a bag's score does not depend on the bags beside it."""
         return np.round(self._forward((x - self.mean) / self.scale, counts)[-1], 9)
 
-    def fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 200, rate: float = 0.02, decay: float = 1e-4) -> AttentionModel:
-        """Adam on the cross-entropy of all bags, with the gradients written out."""
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
-        x, n, p = (x - self.mean) / self.scale, len(y), self.p
+    def gradients(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, decay: float = 0.0) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of the bags, for each parameter, written out; x as it is."""
+        p = self.p
+        first, e, t, g, a, z, out = self._forward(x, counts)
+        top = (out - y) / len(y)
+        dz_each = np.repeat(top[:, None] * p["c"], counts, axis=0)
+        da = (dz_each * e).sum(1)
+        ds = a * (da - np.repeat(np.add.reduceat(a * da, first), counts))
+        dt, dg = ds[:, None] * p["w"] * g * (1 - t**2), ds[:, None] * p["w"] * t * g * (1 - g)
+        de = (a[:, None] * dz_each + dt @ p["V"].T + dg @ p["U"].T) * (1 - e**2)
+        grad = {"W": x.T @ de, "b": de.sum(0), "V": e.T @ dt, "U": e.T @ dg, "w": (t * g).T @ ds, "c": z.T @ top, "d": top.sum()}
+        return {k: v + decay * p[k] for k, v in grad.items()}
+
+    def fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 150, rate: float = 0.02, decay: float = 1e-4) -> AttentionModel:
+        """Adam on the cross-entropy of all bags."""
+        self.mean, self.scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
+        x, p = ((x - self.mean) / self.scale).astype(np.float32), self.p
         m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         for step in range(1, epochs + 1):
-            first, e, t, g, a, z, out = self._forward(x, counts)
-            top = (out - y) / n
-            dz = top[:, None] * p["c"]
-            dz_each = np.repeat(dz, counts, axis=0)
-            da = (dz_each * e).sum(1)
-            ds = a * (da - np.repeat(np.add.reduceat(a * da, first), counts))
-            dt, dg = ds[:, None] * p["w"] * g * (1 - t**2), ds[:, None] * p["w"] * t * g * (1 - g)
-            de = (a[:, None] * dz_each + dt @ p["V"].T + dg @ p["U"].T) * (1 - e**2)
-            grad = {"W": x.T @ de, "b": de.sum(0), "V": e.T @ dt, "U": e.T @ dg, "w": (t * g).T @ ds, "c": z.T @ top, "d": top.sum()}
-            for k, v in p.items():
-                grad[k] = grad[k] + decay * v
-                m1[k] = 0.9 * m1[k] + 0.1 * grad[k]
-                m2[k] = 0.999 * m2[k] + 0.001 * grad[k] ** 2
-                p[k] = v - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
+            for k, grad in self.gradients(x, counts, y, decay).items():
+                m1[k] = 0.9 * m1[k] + 0.1 * grad
+                m2[k] = 0.999 * m2[k] + 0.001 * grad**2
+                p[k] = p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
 
@@ -129,7 +163,7 @@ def held_out(key: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", sample: int = SAMPLE) -> AttentionModel | None:
     """A model from at most `sample` labelled documents that are not held out (those with the least
     hash of their id), or None if they lack one of the classes. Passages are encoded on the executors;
-    the driver gets their features only. Of several labels of a document the least counts; null labels
+    the driver gets their features only, at most BAG vectors of DIM numbers a document. Of several labels of a document the least counts; null labels
     and labels without a document do not."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.min(label).alias("label"))
     known = known.orderBy(F.xxhash64(key), key).limit(sample)
@@ -140,14 +174,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
             for part in _slices(batch):
                 x, counts = encode_passages(binary(part.column(1)))
                 cuts = np.r_[0, np.cumsum(counts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["key", "label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array([bag(x[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["key", "label", "x"])
 
     rows = texts.mapInArrow(encode, f"key {dict(docs.dtypes)[key]}, label int, x binary").orderBy("key").collect()
     y = np.array([r["label"] > 0 for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return None
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, DIM) for r in rows]
-    return AttentionModel().fit(np.concatenate(bags).astype(np.float64), np.array([len(b) for b in bags]), y)
+    return AttentionModel().fit(np.concatenate(bags), np.array([len(b) for b in bags]), y)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -177,7 +211,9 @@ def score(docs: DataFrame, model: AttentionModel | None, key: str = "doc_id") ->
 
 
 def keep_good(docs: DataFrame, model: AttentionModel | None, at_least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that score at_least or more."""
+    """The rows of docs, all columns, that score at_least or more, as score() has it: null and empty texts
+    are one empty passage, very long ones are read whole, repeated rows stay or go together; without a
+    model all rows stay; no rows give no rows. Columns may have any names and types."""
     column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 BUCKETS = 4096
 
 
@@ -36,7 +38,7 @@ def rendezvous(key: Column, weights: Mapping[int, float]) -> Column:
 
 def _bucket(columns: list[str]) -> Column:
     """0 to BUCKETS - 1 by three hexadecimal digits of the columns' digest."""
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]
+    texts = [F.coalesce(quoted(c).cast("string"), F.lit("null")) for c in columns]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *texts).cast("binary")), 1, 3), 16, 10).cast("int")
 
 
@@ -54,14 +56,14 @@ def shard_records(df: DataFrame, key: str, weights: Mapping[int, float], grown:
     keep = [c for c in (keep or []) if c != key]
     cols = [key, *keep]
     base = df.select(
-        F.struct(*cols).alias("row"),
-        rendezvous(F.col(key), weights).cast("int").alias("shard"),
-        (rendezvous(F.col(key), grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
+        F.struct(*map(quoted, cols)).alias("row"),
+        rendezvous(quoted(key), weights).cast("int").alias("shard"),
+        (rendezvous(quoted(key), grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
         _bucket(cols).alias("bucket"),
     )
     runs = base.groupBy("row", "shard", "grown_shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    # at most shards x BUCKETS rows, whatever the input
-    sums = base.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # at most shards x BUCKETS rows, whatever the input; summed from the runs, whose exchange serves both
+    sums = runs.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("shard", "bucket").orderBy(F.col("row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_HEX = 8
 
@@ -48,8 +50,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", key: str =
     A rule fits its host and all subdomains if the path starts with the rule's; the longest fitting
     rule wins (host plus path in characters). Without one rule is null and verdict is the default.
     Only those suffix label counts and prefix lengths that some rule has are expanded: their number
-    follows the rules, not the URL. The join carries no hint: Spark broadcasts the rules only below
-    its size threshold. Rows that are equal in key, host and path are judged once and come back as
+    follows the rules, not the URL. Expressions are made distinct before they meet the rules, so one that
+    many URLs have, such as a top-level domain, is no hot key there; the joins carry no hint, and Spark
+    broadcasts a side only below its size threshold. Rows that are equal in key, host and path are judged once and come back as
     often as they were; null keys and null URLs are rows like any other; no rows give no rows.
     """
     prepared = prepare_rules(rules)
@@ -62,10 +65,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", key: str =
     suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -k) for k in labels]))
     cut = F.array_compact(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]))
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(cut, lambda p: F.concat(s, p))))
-    looked = base.select("key", "host", "path", F.explode(expressions).alias("expression"))
-    looked = looked.select("key", "host", "path", _digest(F.col("expression")).alias("full")).withColumn("prefix", F.substring("full", 1, PREFIX_HEX))
-    fits = looked.join(prepared, "prefix").where(F.col("full") == F.col("digest"))
-    best = fits.groupBy("key", "host", "path").agg(F.max(F.struct("width", "rule", "action")).alias("best"))
-    b = best.select(F.col("key").alias("k"), F.col("host").alias("h"), F.col("path").alias("p"), "best")
-    judged = base.join(b, base.key.eqNullSafe(b.k) & (base.host == b.h) & (base.path == b.p), "left")
+    looked = base.select("key", "host", "path", "copies", F.explode(expressions).alias("expression"))
+    # each expression meets the rules once, however many URLs have it: what is left fits a rule
+    each = looked.select("expression").distinct().withColumn("full", _digest(F.col("expression"))).withColumn("prefix", F.substring("full", 1, PREFIX_HEX))
+    fits = written(each.join(prepared, "prefix").where(F.col("full") == F.col("digest")).select("expression", F.struct("width", "rule", "action").alias("fit")), "url-rules")
+    judged = looked.join(fits, "expression", "left").groupBy("key", "host", "path", "copies").agg(F.max("fit").alias("best"))
     return judged.select(F.col("key").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("i")).drop("i")

@@ -217,15 +217,23 @@ def test_gradients_and_attention():
     m = quality.AttentionModel(hidden=3, attention=2, seed=1)
     counts = np.array([1, 4, 2])
     x, y = r.normal(size=(7, quality.DIM)), np.array([0.0, 1.0, 1.0])
-    before = {k: v.copy() for k, v in m.p.items()}
 
     def loss():
-        s = np.clip(m._forward(x, counts)[-1], 1e-12, 1 - 1e-12)
+        s = m._forward(x, counts)[-1]
         return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
 
-    m.mean, m.scale = x.mean(0) * 0, np.ones(quality.DIM)
+    for name, grad in m.gradients(x, counts, y).items():
+        whole = np.array(m.p[name], np.float64)
+        for at in [()] if whole.ndim == 0 else [tuple(r.integers(n) for n in whole.shape) for _ in range(6)]:
+            both = []
+            for step in (1e-5, -1e-5):
+                moved = whole.copy()
+                moved[at] += step
+                m.p[name] = moved
+                both.append(loss())
+            m.p[name] = whole
+            assert (both[0] - both[1]) / 2e-5 == pytest.approx(np.asarray(grad)[at], rel=1e-4, abs=1e-9), name
     first = loss()
-    m.p = {k: v.copy() for k, v in before.items()}
     m.fit(x, counts, y, epochs=150, rate=0.05)
     x = (x - m.mean) / m.scale
     assert loss() < first * 0.2
@@ -233,6 +241,24 @@ def test_gradients_and_attention():
     assert np.add.reduceat(a, [0, 1, 5]) == pytest.approx([1, 1, 1])
 
 
+def test_passages_are_encoded_one_by_one():
+    r = np.random.default_rng(10)
+    texts = [b"", None, b"one", b"Same words here " * 100, "ÄÖ naïve 日本".encode(), bytes(r.integers(97, 123, 5000, dtype=np.uint8)), b"x " * 3000]
+    x, counts = quality.encode_passages(texts)
+    assert counts.tolist() == [1, 1, 1, 5, 1, 1, 47] and x.shape == (counts.sum(), quality.DIM)
+    at = 0
+    for text, n in zip(texts, counts):
+        alone, one = quality.encode_passages([text])
+        assert one.tolist() == [n] and (alone == x[at : at + n]).all()
+        at += n
+    raw, grams = b"abcab", np.zeros(quality.GRAMS)
+    for k in range(3):
+        grams[quality._spread(np.array([int.from_bytes(raw[k : k + 3], "little")], np.uint64), quality.GRAMS)] += 1
+    assert quality.encode_passages([raw])[0][0, quality._CLASSES : quality._CLASSES + quality.GRAMS] == pytest.approx(np.sqrt(grams / 3), abs=1e-6)
+    small = quality.bag(x[-47:], 10)
+    assert len(small) == 10 and quality.bag(x[:3]).shape == (3, quality.DIM) and small[0] == pytest.approx(x[-47:-42].mean(0), abs=1e-6)
+
+
 def test_held_out_accuracy(spark, sf_dir):
     out = queries.op10_quality(spark, sf_dir).toPandas()
     known = spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas().merge(out, on="doc_id")
