@@ -41,7 +41,7 @@ from .shingling import words
 
 MASK = np.uint64((1 << 48) - 1)
 END, BEGIN = MASK, MASK - np.uint64(1)
-ENTRIES = 1_500_000  # triples a partition, about
+ENTRIES = 1_000_000  # triples a partition, about
 LEAST = 200_000  # and no fewer for the sake of parallelism
 HOT = 200_000  # at most so many frequent words, and as many bigrams and trigrams
 COMMON = (1 << 16) - 3  # words that travel as ranks
@@ -94,12 +94,17 @@ class Words:
         order = np.argsort(ids)
         self.ids, self.ranks, self.by_rank = ids[order], (order + 1).astype(np.uint64), np.concatenate([np.zeros(1, np.uint64), ids])
 
-    def pack(self, texts: tuple[np.ndarray, ...], *numbers: tuple[np.ndarray, int]) -> bytes:
+    def rank(self, w: np.ndarray) -> np.ndarray:
+        """Ranks from 1, 0 for words that are not common."""
+        at = np.minimum(np.searchsorted(self.ids, w), len(self.ids) - 1)
+        return np.where(self.ids[at] == w, self.ranks[at], np.uint64(0))
+
+    def pack(self, texts: tuple[np.ndarray, ...], *numbers: tuple[np.ndarray, int], ranks: tuple[np.ndarray, ...] = ()) -> bytes:
+        """ranks: those of the texts, if they are known."""
         out = []
-        for w in texts:
-            at = np.minimum(np.searchsorted(self.ids, w), len(self.ids) - 1)
-            ranks = np.where(self.ids[at] == w, self.ranks[at], np.uint64(0))
-            out += [_planes(ranks, 2), _planes(w[ranks == 0], 6)]
+        for k, w in enumerate(texts):
+            own = ranks[k] if ranks else self.rank(w)
+            out += [_planes(own, 2), _planes(w[own == 0], 6)]
         out += [_planes(x, width) for x, width in numbers]
         return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
@@ -163,13 +168,17 @@ class _Known:
 
 
 def _times(x: np.ndarray) -> np.ndarray:
-    """Of each entry how often it occurs."""
-    order = np.argsort(x)
-    ordered = x[order]
-    new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(x) else np.zeros(0, np.int64)
-    n = np.diff(np.r_[new, len(x)])
-    out = np.empty(len(x), np.int64)
-    out[order] = np.repeat(n, n)
+    """Of each entry how often it occurs. Entries alone in a bucket of their low bits occur once; only
+    the others are sorted."""
+    bucket = (x & np.uint64((1 << max(10, (4 * len(x)).bit_length())) - 1)).view(np.int64)
+    more = np.flatnonzero(np.bincount(bucket)[bucket] > 1) if len(x) else np.zeros(0, np.int64)
+    out = np.ones(len(x), np.int64)
+    rest = x[more]
+    order = np.argsort(rest)
+    ordered = rest[order]
+    new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(rest) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[new, len(rest)])
+    out[more[order]] = np.repeat(n, n)
     return out
 
 
@@ -200,12 +209,14 @@ def _counted(docs: DataFrame, order: int) -> DataFrame:
                 u, v, w, *_ = _triples(texts)
                 ids, n = np.unique(v, return_counts=True)
                 held[0].append((ids, n))
+                least = max(16, len(v) // 4000)
+                known = _Known(list(zip(ids[n >= least].view(np.int64).tolist(), n[n >= least].tolist())))
+                inside = known.look(v)[0] & known.look(w)[0]  # only frequent words make frequent bigrams
+                u, v, w = u[inside], v[inside], w[inside]
                 _, vw, uvw = _hashes(u, v, w)
-                inside = w != END
-                for kind, x in ((1, vw[inside]), (2, uvw[inside & (u != BEGIN)]))[: order - 1]:
+                for kind, x in ((1, vw), (2, uvw[known.look(u)[0]]))[: order - 1]:
                     x, n2 = np.unique(x, return_counts=True)
-                    often = n2 >= max(16, len(v) // 4000)
-                    held[kind].append((x[often], n2[often]))
+                    held[kind].append((x[n2 >= least], n2[n2 >= least]))
                 waiting += len(ids)
                 if waiting > 1_500_000:
                     yield from out()
@@ -272,30 +283,31 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), key_type]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], _NAMES)
 
-    def dealt(hashes: np.ndarray, *by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(partition, places) of entries dealt by their hashes, in each partition in order of `by`."""
+    def dealt(hashes: np.ndarray, by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(partition, places) of entries dealt by their hashes, in each partition in order of words."""
         part = (_mix(hashes) % np.uint64(parts)).astype(np.int64)
-        order_ = np.lexsort((*by, part))
+        order_ = np.argsort(part.view(np.uint64) << np.uint64(48) | by) if parts < 1 << 16 else np.lexsort((by, part))
         cuts = np.flatnonzero(np.diff(part[order_])) + 1
         for piece in np.split(order_, cuts) if len(order_) else []:
             yield int(part[piece[0]]), piece
 
-    def sums(ids: np.ndarray, value: np.ndarray) -> Iterator[tuple]:
-        """Sums of value by document, a block for each input partition of the documents."""
-        if not len(ids):
+    def sums(ids: np.ndarray, value: np.ndarray, where: np.ndarray | None = None) -> Iterator[tuple]:
+        """Sums of value by document, a block for each input partition of the documents. ids are those of
+        the values or, if where is given, of the places that it holds."""
+        if where is None:
+            ids, where = np.unique(ids, return_inverse=True)
+        if not len(where):
             return
-        docs_, where = np.unique(ids, return_inverse=True)
-        value = np.bincount(where, value, len(docs_)).astype(np.int64)
+        some = np.flatnonzero(np.bincount(where, minlength=len(ids)))
+        some = some[np.argsort(ids[some])]
+        docs_, value = ids[some], np.bincount(where, value, len(ids)).astype(np.int64)[some]
         ranges = (docs_ >> np.uint64(32)).astype(np.int64)
         for piece in np.split(np.arange(len(docs_)), np.flatnonzero(np.diff(ranges)) + 1):
             r = int(ranges[piece[0]])
             yield (parts + r, SUMS, r, len(piece), coded.pack((), (docs_[piece] & np.uint64(0xFFFFFFFF), 4), ((-value[piece]).view(np.uint64), 8)), None)
 
     def last_words(w: np.ndarray, ids: np.ndarray, alphas: np.ndarray) -> Iterator[tuple]:
-        """Entries that score by their last word: frequent ones at once, others in exchange 3."""
-        hot, log_w = one.look(w)
-        yield from sums(ids[hot], alphas[hot] * backoff + log_w[hot] - all_log)
-        w, ids, alphas = w[~hot], ids[~hot], alphas[~hot]
+        """Entries that score by their last word, none of them frequent: in exchange 3."""
         for p, x in dealt(w, w):
             yield (p, LAST, 0, len(x), coded.pack((w[x],), (ids[x], 8), (alphas[x].astype(np.uint64), 1)), None)
 
@@ -307,23 +319,33 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.
                 u, v, w, doc, sizes = _triples(some)
                 base = (here << 32) + row + start
                 out = [(parts + here, DOCUMENT, base + i, int(n), b"", keys[start + i]) for i, n in enumerate(sizes)]
-                first = u == BEGIN
-                out += last_words(v[first], np.uint64(base) + doc[first].astype(np.uint64), np.zeros(first.sum(), np.int64))
+                own = np.uint64(base) + np.arange(len(some), dtype=np.uint64)
+                value = np.zeros(len(v), np.int64)
+                (hot_v, log_v), first = one.look(v), u == BEGIN
+                value[first & hot_v] += log_v[first & hot_v] - all_log
+                done = first & hot_v
+                first &= ~hot_v
+                out += last_words(v[first], own[doc[first]], np.zeros(first.sum(), np.int64))
+                rank_v = coded.rank(v)
+                begins, ends = coded.rank(np.array([BEGIN, END], np.uint64))
+                rank_u, rank_w = np.where(u == BEGIN, begins, np.roll(rank_v, 1)), np.where(w == END, ends, np.roll(rank_v, -1))
                 if order == 2:
-                    u = np.full(len(v), BEGIN)
+                    u, rank_u = np.full(len(v), BEGIN), np.full(len(v), begins)
                 uv, vw, uvw = _hashes(u, v, w)
-                (hot_v, log_v), (hot_uv, log_uv), (hot_vw, log_vw), (hot_uvw, log_uvw) = one.look(v), two.look(uv), two.look(vw), three.look(uvw)
+                (hot_uv, log_uv), (hot_vw, log_vw), (hot_uvw, log_uvw) = two.look(uv), two.look(vw), three.look(uvw)
                 hot_uv &= hot_v & (u != BEGIN)
                 hot_vw &= hot_v & (w != END)
                 hot_uvw &= hot_uv & hot_vw
                 whole = hot_vw & (u == BEGIN)  # bigrams that start a text
-                out += sums(np.uint64(base) + doc[hot_uvw].astype(np.uint64), log_uvw[hot_uvw] - log_uv[hot_uvw])
-                out += sums(np.uint64(base) + doc[whole].astype(np.uint64), log_vw[whole] - log_v[whole])
+                value[hot_uvw] += log_uvw[hot_uvw] - log_uv[hot_uvw]
+                value[whole] += log_vw[whole] - log_v[whole]
+                done |= hot_uvw | whole
+                out += sums(own, value[done], doc[done])
                 ship = ~hot_uvw & ~whole & ~(hot_v & (w == END) & (hot_uv | (u == BEGIN)))
                 by = np.where(hot_v, np.where(hot_uv, uvw, np.where(u == BEGIN, vw, uv)), v)[ship]
-                u, v, w, doc = u[ship], v[ship], w[ship], doc[ship]
+                u, v, w, doc, rank_u, rank_v, rank_w = (x[ship] for x in (u, v, w, doc, rank_u, rank_v, rank_w))
                 for p, x in dealt(by, v):
-                    out.append((p, TRIPLES, base, len(x), coded.pack((v[x], w[x], u[x]), (doc[x].astype(np.uint64), 2)), None))
+                    out.append((p, TRIPLES, base, len(x), coded.pack((v[x], w[x], u[x]), (doc[x].astype(np.uint64), 2), ranks=(rank_v[x], rank_w[x], rank_u[x])), None))
                 yield rows(out)
             row += batch.num_rows
 
@@ -345,15 +367,24 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.
             for batch in held:  # words that start a text
                 yield batch.filter(pa.array([k == LAST for k in batch.column("kind").to_pylist()], pa.bool_())).select(_NAMES)
             blocks = [(base, coded.unpack(packed, n, 3, 2)) for base, n, packed in of(held, TRIPLES)]
-            ids = np.concatenate([np.zeros(0, np.uint64), *[np.uint64(base) + x[3] for base, x in blocks]])
+            # the documents of all blocks side by side, and each triple's place among them
+            most = [int(x[3].max()) + 1 for _, x in blocks]
+            first = np.cumsum([0, *most])
+            ids = np.concatenate([np.zeros(0, np.uint64), *[np.uint64(base) + np.arange(m, dtype=np.uint64) for (base, _), m in zip(blocks, most)]])
+            where = np.concatenate([np.zeros(0, np.int64), *[at + x[3].view(np.int64) for at, (_, x) in zip(first, blocks)]])
             v, w, u = joined([x for _, x in blocks], 3)
             del blocks, held
+            if len(ids) > 4 * len(where):  # few triples of each of very many documents
+                used, where = np.unique(where, return_inverse=True)
+                ids = ids[used]
             uv, vw, uvw = _hashes(u, v, w)
             (hot_v, log_v), (hot_uv, log_uv), (hot_vw, log_vw) = one.look(v), two.look(uv), two.look(vw)
             n_uvw = _times(uvw)
             found = (n_uvw >= min_count) & (u != BEGIN) & (w != END)
             log_uv = np.where(hot_uv & hot_v, log_uv, _log(_times(uv)))
-            out = list(sums(ids[found], _log(n_uvw[found]) - log_uv[found]))
+            value = np.zeros(len(v), np.int64)
+            value[found] = _log(n_uvw[found]) - log_uv[found]
+            out = []
             # what bigrams of frequent middle words count, found or not
             own = hot_v & ~hot_vw & (w != END)
             x, first, n = np.unique(vw[own], return_index=True, return_counts=True)
@@ -365,14 +396,20 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.
             rest = ~found & (w != END)
             later = rest & own
             for p, at in dealt(vw[later], v[later]):
-                out.append((p, PAIRS, 0, len(at), coded.pack((v[later][at], w[later][at]), (ids[later][at], 8), (alphas[later][at].astype(np.uint64), 1)), None))
+                out.append((p, PAIRS, 0, len(at), coded.pack((v[later][at], w[later][at]), (ids[where[later][at]], 8), (alphas[later][at].astype(np.uint64), 1)), None))
             rest &= ~later
             here = rest & (hot_vw & hot_v | ~hot_v & (n_vw >= min_count))
             log_v = np.where(hot_v, log_v, _log(n_v))
             log_vw = np.where(hot_vw & hot_v, log_vw, _log(n_vw))
-            out += sums(ids[here], alphas[here] * backoff + log_vw[here] - log_v[here])
+            value[here] = alphas[here] * backoff + log_vw[here] - log_v[here]
             rest &= ~here
-            out += last_words(w[rest], ids[rest], alphas[rest] + 1)
+            hot_w, log_w = one.look(w)
+            hot_w &= rest
+            value[hot_w] = (alphas[hot_w] + 1) * backoff + log_w[hot_w] - all_log
+            done = found | here | hot_w
+            out += sums(ids, value[done], where[done])
+            rest &= ~hot_w
+            out += last_words(w[rest], ids[where[rest]], alphas[rest] + 1)
             yield rows(out)
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,8 +421,11 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.
             n_vw = count[np.searchsorted(known, _pair(v, w))] if len(v) else np.zeros(0, np.int64)
             alphas = alphas.astype(np.int64)
             found = n_vw >= min_count
-            out = list(sums(ids[found], alphas[found] * backoff + _log(n_vw[found]) - one.look(v[found])[1]))
-            out += last_words(w[~found], ids[~found], alphas[~found] + 1)
+            hot_w, log_w = one.look(w)
+            value = np.where(found, alphas * backoff + _log(np.maximum(1, n_vw)) - one.look(v)[1], (alphas + 1) * backoff + log_w - all_log)
+            done = found | hot_w
+            out = list(sums(ids[done], value[done]))
+            out += last_words(w[~done], ids[~done], alphas[~done] + 1)
             yield rows(out)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
