@@ -25,6 +25,7 @@ order.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +42,11 @@ from .shingling import words
 
 MASK = np.uint64((1 << 48) - 1)
 END, BEGIN = MASK, MASK - np.uint64(1)
-ENTRIES = 1_000_000  # triples a partition, about
+ENTRIES = 1_500_000  # triples a partition, about
 LEAST = 200_000  # and no fewer for the sake of parallelism
 HOT = 200_000  # at most so many frequent words, and as many bigrams and trigrams
 COMMON = (1 << 16) - 3  # words that travel as ranks
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 UNIT = 1e6
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 TRIPLES, PAIRS, PAIR_COUNTS, LAST, COUNTS, SUMS, DOCUMENT = range(7)
@@ -168,17 +169,13 @@ class _Known:
 
 
 def _times(x: np.ndarray) -> np.ndarray:
-    """Of each entry how often it occurs. Entries alone in a bucket of their low bits occur once; only
-    the others are sorted."""
-    bucket = (x & np.uint64((1 << max(10, (4 * len(x)).bit_length())) - 1)).view(np.int64)
-    more = np.flatnonzero(np.bincount(bucket)[bucket] > 1) if len(x) else np.zeros(0, np.int64)
-    out = np.ones(len(x), np.int64)
-    rest = x[more]
-    order = np.argsort(rest)
-    ordered = rest[order]
-    new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(rest) else np.zeros(0, np.int64)
-    n = np.diff(np.r_[new, len(rest)])
-    out[more[order]] = np.repeat(n, n)
+    """Of each entry how often it occurs."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(x) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[new, len(x)])
+    out = np.empty(len(x), np.int64)
+    out[order] = np.repeat(n, n)
     return out
 
 
@@ -395,8 +392,9 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.
             alphas = (u != BEGIN).astype(np.int64)
             rest = ~found & (w != END)
             later = rest & own
-            for p, at in dealt(vw[later], v[later]):
-                out.append((p, PAIRS, 0, len(at), coded.pack((v[later][at], w[later][at]), (ids[where[later][at]], 8), (alphas[later][at].astype(np.uint64), 1)), None))
+            vl, wl, idl, al = v[later], w[later], ids[where[later]], alphas[later].astype(np.uint64)
+            for p, at in dealt(vw[later], vl):
+                out.append((p, PAIRS, 0, len(at), coded.pack((vl[at], wl[at]), (idl[at], 8), (al[at], 1)), None))
             rest &= ~later
             here = rest & (hot_vw & hot_v | ~hot_v & (n_vw >= min_count))
             log_v = np.where(hot_v, log_v, _log(n_v))
@@ -440,9 +438,16 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.
             w, n = joined([coded.unpack(packed, n, 1, 6) for _, n, packed in of(held, COUNTS)], 2)
             order_ = np.argsort(w)
             w, logs = w[order_], _log(n[order_].astype(np.float64))
-            for _, n, packed in of(held, LAST):
-                x, ids, alphas = coded.unpack(packed, n, 1, 8, 1)
-                yield rows(list(sums(ids, alphas.astype(np.int64) * backoff + logs[np.searchsorted(w, x)] - all_log)))
+            blocks: list[list[np.ndarray]] = []
+            size = 0
+            for _, n, packed in itertools.chain(of(held, LAST), [(0, 0, None)]):
+                if packed is None or size > 2 * entries:  # the partition, or a part of it, at once
+                    x, ids, alphas = joined(blocks, 3)
+                    yield rows(list(sums(ids, alphas.astype(np.int64) * backoff + logs[np.searchsorted(w, x)] - all_log)) if len(x) else [])
+                    blocks, size = [], 0
+                if packed is not None:
+                    blocks.append(coded.unpack(packed, n, 1, 8, 1))
+                    size += n
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in rounds(batches, "part"):
