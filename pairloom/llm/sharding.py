@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .common import quoted
 
 BUCKETS = 4096
@@ -61,8 +62,9 @@ def shard_records(df: DataFrame, key: str, weights: Mapping[int, float], grown:
         (rendezvous(quoted(key), grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
         _bucket(cols).alias("bucket"),
     )
-    runs = base.groupBy("row", "shard", "grown_shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    # at most shards x BUCKETS rows, whatever the input; summed from the runs, whose exchange serves both
+    # written, as both steps below read them: every row is hashed once
+    runs = written(base.groupBy("row", "shard", "grown_shard", "bucket").agg(F.count(F.lit(1)).alias("n")), "runs")
+    # at most shards x BUCKETS rows, whatever the input
     sums = runs.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
