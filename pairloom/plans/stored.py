@@ -159,7 +159,7 @@ def tar_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- annotations and segments
 
-_LINES = "SELECT clip_id, speaker_id, duration_cs, CASE WHEN label = 9 THEN 'IS1003b' ELSE upper(meeting_id) END AS m, concat('AMI_', CASE WHEN label = 9 THEN 'IS1003b' ELSE upper(meeting_id) END, '_H00_', upper(speaker_id), '_', lpad(CAST(clip_id * 10 AS VARCHAR(10)), 7, '0'), '_', lpad(CAST(clip_id * 10 + duration_cs AS VARCHAR(10)), 7, '0')) AS u, CASE WHEN clip_id % 5 = 0 THEN '' ELSE concat('so it  is ', CAST(clip_id AS VARCHAR(10))) END AS said FROM clips"
+_LINES = "SELECT clip_id, speaker_id, duration_cs, CASE WHEN label = 9 THEN 'IS1003b' ELSE upper(meeting_id) END AS m, concat('C_', CASE WHEN label = 9 THEN 'IS1003b' ELSE upper(meeting_id) END, '_H00_', upper(speaker_id), '_', lpad(CAST(clip_id * 10 AS VARCHAR(10)), 7, '0'), '_', lpad(CAST(clip_id * 10 + duration_cs AS VARCHAR(10)), 7, '0')) AS u, CASE WHEN clip_id % 5 = 0 THEN '' ELSE concat('so it  is ', CAST(clip_id AS VARCHAR(10))) END AS said FROM clips"
 
 
 def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
