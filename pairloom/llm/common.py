@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,17 @@ def binary(column: pa.ChunkedArray | pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+def short(batches: Iterable[pa.RecordBatch], text: int | str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, cut where their texts pass another `most` bytes: what is made of
+    the texts is held for so many at a time. A longer text is whole in a batch; nulls count as empty."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = (np.flatnonzero(np.diff(upto // most)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def rounds(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[pa.RecordBatch]]]:
     """Batches sorted by key, as (key, slices with that key): only one key's slices are held."""
     held: list[pa.RecordBatch] = []

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .common import binary, fresh, n_partitions, quoted, rounds
+from .common import binary, fresh, n_partitions, quoted, rounds, short
 from .components import components
 from .shingling import shingles, words
 from .vptree import Union, links
@@ -101,7 +101,7 @@ def frequent_shingles(docs: DataFrame, k: int = 5, text: str = "text") -> np.nda
         return np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, 0):
             for body in binary(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_digests(words(body or b""), k)).view(np.int64))], ["h"])
 
@@ -128,7 +128,7 @@ def describe(docs: DataFrame, k: int = 5, similarity: float = 0.8, last: np.ndar
     last = np.zeros(0, np.uint64) if last is None else last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, 1):
             tid, size, prints, fps, prefixes = [], [], [], [], []
             for body in binary(batch.column(1)):
                 digests = np.unique(shingle_digests(words(body or b""), k))
@@ -252,7 +252,7 @@ def _shingles(texts: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in short(batches, "text"):
             new = [n for n, i in enumerate(batch.column("id").to_pylist()) if i not in seen and not seen.add(i)]
             batch = batch.take(pa.array(new, pa.int64()))
             found = [np.unique(shingle_digests(words(body or b""), k)).tobytes() for body in binary(batch.column("text"))]

@@ -200,3 +200,16 @@ def test_shards_are_dealt_by_number(spark):
     points = np.random.default_rng(3).integers(0, 2**63, 4000, dtype=np.int64)
     plan = vptree.links(spark.createDataFrame([(int(p),) for p in points], "fp long"), 2, shard=400)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(shard" not in plan
+
+
+def test_short_batches_keep_all_rows():
+    import pyarrow as pa
+
+    from pairloom.llm.common import short
+
+    texts = ["", None, "a" * 30, "ä" * 4, None, "b" * 5, "", "c" * 9]
+    batches = [pa.RecordBatch.from_pydict({"n": list(range(8)), "text": texts}), pa.RecordBatch.from_pydict({"n": pa.array([], pa.int64()), "text": pa.array([], pa.string())})]
+    found = list(short(batches, "text", 10))
+    assert [v for b in found for v in b.column("n").to_pylist()] == list(range(8))
+    assert [v for b in found for v in b.column("text").to_pylist()] == texts
+    assert len(found) > 2 and all(b.num_rows for b in found)
