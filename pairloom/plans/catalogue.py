@@ -591,12 +591,12 @@ def missing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_("scored") + "SELECT enroll_clip_id, test_clip_id, target, round(score, 6) AS score FROM scored")
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("enroll_clip_id", "test_clip_id", "target", F.round("score", 6).alias("score"))
+    return scored(spark, sf_dir, "enroll_clip_id", "test_clip_id", decimals=6)
 
 
 @query(with_("scored") + "SELECT target, mic, count(*) AS n, round(avg(score), 6) AS mean, round(min(score), 6) AS lo, round(max(score), 6) AS hi FROM scored GROUP BY ALL")
 def cosine_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).groupBy("target", "mic").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.min("score"), 6).alias("lo"), F.round(F.max("score"), 6).alias("hi"))
+    return scored(spark, sf_dir, "test_mic_type").groupBy("target", F.col("test_mic_type").alias("mic")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.min("score"), 6).alias("lo"), F.round(F.max("score"), 6).alias("hi"))
 
 
 @query(with_("dots") + "SELECT vec_id, round(10 * log10(list_avg(list_transform(v, lambda x: x * x)) + 1e-12), 6) AS energy_db FROM dots")
@@ -651,7 +651,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(with_("scored", sc="SELECT *, round(score, 9) AS rs FROM scored") + _eer_sql("sc", "rs"))
 def eer_exact_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.eer_exact(scored(spark, sf_dir).withColumn("score", F.round("score", 9)), "score", "target"))
+    return _rounded(metrics.eer_exact(scored(spark, sf_dir, decimals=9), "score", "target"))
 
 
 @query(with_("trials", d="SELECT CAST(-diff_cs AS DOUBLE) AS x, target FROM trials") + _eer_sql("d", "x"))
@@ -662,7 +662,8 @@ def eer_exact_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_("scored", sc="SELECT *, round(score, 9) AS rs FROM scored") + _eer_sql("sc", "rs", "mic"))
 def eer_by_mic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.eer_exact(scored(spark, sf_dir).withColumn("score", F.round("score", 9)), "score", "target", "mic"))
+    trials = scored(spark, sf_dir, "test_mic_type", decimals=9).withColumnRenamed("test_mic_type", "mic")
+    return _rounded(metrics.eer_exact(trials, "score", "target", "mic"))
 
 
 _HIST_STEPS = {
@@ -700,7 +701,7 @@ _E4, _L4 = [100, 200, 400], text.bucket_labels([1, 2, 4])
 
 def _bounded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Scored trials, written once as their range and their histograms both read them, and the range."""
-    s = scored(spark, sf_dir).select("target", "mic", "enroll_duration_cs", "test_duration_cs", F.round("score", 9).alias("score"))
+    s = scored(spark, sf_dir, "test_mic_type", "enroll_duration_cs", "test_duration_cs", decimals=9).withColumnRenamed("test_mic_type", "mic")
     s = written(s, "scored")
     return s, metrics.score_range(s, "score")
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, split, trials
+from ..operators import blocks, split, trials
 
 #: One text for both engines.
 CLIPS_SQL = """SELECT vec_id AS clip_id, label, embedding, mic_type, native_split, speaker_id, meeting_id, duration_cs,
@@ -62,12 +62,10 @@ def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.negative_candidates(*sides(spark, sf_dir), salt=4).withColumn("mic", F.col("test_mic_type"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positive and negative trials with the cosine of their clips and target (boolean)."""
-    pos = positives(spark, sf_dir).withColumn("target", F.lit(True))
-    neg = negatives(spark, sf_dir).drop("gender").withColumn("target", F.lit(False))
-    both = pos.unionByName(neg)
-    return features.score_cosine(both, table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "enroll_clip_id", "test_clip_id")
+def scored(spark: SparkSession, sf_dir: str, *columns: str, decimals: int | None = None) -> DataFrame:
+    """Positive and negative trials with target (boolean), the cosine of their clips as score, and these
+    columns of either clip."""
+    return blocks.scored_trials(*sides(spark, sf_dir), table(spark, sf_dir, "embeddings"), "vec_id", "embedding", columns, decimals)
 
 
 # The same steps in SQL, as common table expressions for the oracle.
