@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import binning
 from ..storage import n_partitions, written
 from . import ranks
+from .features import dimension
 
 BINS = 20_000
 MIN_TRIALS = 50
@@ -19,7 +22,7 @@ def _cumulative(keys: list[str], order: str, descending: bool = False) -> Window
     return Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def eer_exact(trials: DataFrame, score: str, target: str, *keys: str, buckets: int | None = None) -> DataFrame:
+def eer_exact(trials: DataFrame, score: str, target: str, *keys: str, buckets: int | None = None, likely: tuple[float, float] | None = None) -> DataFrame:
     """keys, n_target, n_nontarget, eer and threshold of each group of scored trials (target: boolean).
 
     Scores are walked from the highest, of equal ones targets first; after each trial the false-accept
@@ -31,10 +34,13 @@ def eer_exact(trials: DataFrame, score: str, target: str, *keys: str, buckets: i
     number of scores however they lie. The counts are written once with their bucket, as several steps
     read them. The difference of the rates only rises along the walk, so it changes sign in one bucket,
     and only that bucket's scores are walked; inside one score the walk is two straight lines, whose
-    nearest integers are computed."""
+    nearest integers are computed.
+
+    With the likely range of the scores trials are read twice, and only those of one part of that range
+    are counted by score: see _narrowed()."""
     keys = list(keys)
     rows = trials.select(*keys, F.col(score).cast("double").alias("s"), F.col(target).alias("t")).where("s is not null and not isnan(s) and t is not null")
-    counts = rows.groupBy(*keys, "s").agg(F.count_if(F.col("t")).alias("a"), F.count_if(~F.col("t")).alias("b"))
+    counts = _narrowed(rows, keys, *likely) if likely else _by_score(rows, keys)
     ranged = counts.repartitionByRange(buckets or n_partitions(trials.sparkSession), *keys, F.desc("s"))
     counts = written(ranged.withColumn("bucket", F.spark_partition_id()), "scores")
     sums = counts.groupBy(*keys).agg(F.sum("a").alias("nt"), F.sum("b").alias("nn"))
@@ -70,6 +76,33 @@ def eer_exact(trials: DataFrame, score: str, target: str, *keys: str, buckets: i
     return out.select(*keys, F.col("nt").alias("n_target"), F.col("nn").alias("n_nontarget"), F.when(ok, F.col("x.eer")).alias("eer"), F.when(ok, F.col("x.threshold")).alias("threshold"))
 
 
+def _by_score(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys, "s").agg(F.count_if(F.col("t")).alias("a"), F.count_if(~F.col("t")).alias("b"))
+
+
+def _narrowed(rows: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
+    """Counts by score as the walk needs them, of rows (keys, s, t): the trials of each part of the range
+    [low, high] count at its least score, but for the part of each group after which the difference of the
+    rates is first not negative, which is counted score by score.
+
+    The nearest step is in that part or is the last step before it, which is the last step of a part: one
+    at its least score. Scores outside the range belong to its first or last part, so a wrong guess
+    costs work and changes no result."""
+    keyed = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    parts = rows.groupBy(*keys, ranks.span(F.col("s"), low, high).alias("k")).agg(F.count_if(F.col("t")).alias("a"), F.count_if(~F.col("t")).alias("b"), F.min("s").alias("s"), F.max("s").alias("top"))
+    parts = written(parts, "parts")
+    w, whole = _cumulative(keys, "k", True), Window.partitionBy(*keys)
+    walked = parts.withColumns({"ta": F.sum("a").over(w), "tb": F.sum("b").over(w), "nt": F.sum("a").over(whole), "nn": F.sum("b").over(whole)})
+    wide = lambda c: c.cast("decimal(19,0)")
+    over = wide(F.col("tb")) * wide(F.col("nt")) >= wide(F.col("nt") - F.col("ta")) * wide(F.col("nn"))
+    edge = walked.where(over).groupBy(*keys).agg(F.max(F.struct("k", "s", "top")).alias("e"))
+    edge = edge.select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("e.k").alias("__k"), F.col("e.s").alias("__low"), F.col("e.top").alias("__top"))
+    edge = dimension(written(edge, "edges"), 64)
+    on = lambda *more: functools.reduce(Column.__and__, [*keyed, *more])
+    rest = parts.join(edge, on(F.col("k") == F.col("__k")), "left_anti").select(*keys, "s", "a", "b")
+    return rest.unionByName(_by_score(rows.join(edge, on(F.col("s").between(F.col("__low"), F.col("__top"))), "left_semi"), keys))
+
+
 def _nearest_steps() -> Column:
     """Steps (t targets, n others accepted) of one score's two lines that may be nearest: the whole
     numbers around each line's zero, and the lines' ends."""
@@ -82,9 +115,11 @@ def _nearest_steps() -> Column:
     return F.concat(first, second)
 
 
-def score_range(trials: DataFrame, score: str, low: float = 0.0001, high: float = 0.9999) -> DataFrame:
-    """lo and hi, one row: two exact percentiles over all scores but null and NaN ones."""
-    return trials.sparkSession.createDataFrame([tuple(ranks.percentiles(trials, score, [low, high]))], "lo double, hi double")
+def score_range(trials: DataFrame, score: str, low: float = 0.0001, high: float = 0.9999, likely: tuple[float, float] | None = None) -> DataFrame:
+    """lo and hi, one row: two exact percentiles over all scores but null and NaN ones. With the likely
+    range of the scores trials are read twice and not counted by score."""
+    found = ranks.narrowed(trials, score, [low, high], *likely) if likely else ranks.percentiles(trials, score, [low, high])
+    return trials.sparkSession.createDataFrame([tuple(found)], "lo double, hi double")
 
 
 def score_histogram(trials: DataFrame, score: str, target: str, bounds: DataFrame, groupings: list[list[str]], bins: int = BINS) -> DataFrame:

@@ -645,13 +645,16 @@ w AS (SELECT {pre}s, row_number() OVER o AS r, count(*) FILTER (target) OVER o A
 SELECT {pre}max(nt) AS n_target, max(nn) AS n_nontarget, round(arg_min((n / nn + (nt - t) / nt) / 2, abs(CAST(n AS HUGEINT) * nt - (nt - t) * nn) * 100000000::HUGEINT + r), 9) AS eer, round(arg_min(s, abs(CAST(n AS HUGEINT) * nt - (nt - t) * nn) * 100000000::HUGEINT + r), 6) AS threshold FROM w{group}"""
 
 
+_COSINES = (-1.0, 1.0)
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({"eer": F.round("eer", 9), "threshold": F.round("threshold", 6)})
 
 
 @query(with_("scored", sc="SELECT *, round(score, 9) AS rs FROM scored") + _eer_sql("sc", "rs"))
 def eer_exact_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.eer_exact(scored(spark, sf_dir, decimals=9), "score", "target"))
+    return _rounded(metrics.eer_exact(scored(spark, sf_dir, decimals=9), "score", "target", likely=_COSINES))
 
 
 @query(with_("trials", d="SELECT CAST(-diff_cs AS DOUBLE) AS x, target FROM trials") + _eer_sql("d", "x"))
@@ -663,7 +666,7 @@ def eer_exact_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_("scored", sc="SELECT *, round(score, 9) AS rs FROM scored") + _eer_sql("sc", "rs", "mic"))
 def eer_by_mic(spark: SparkSession, sf_dir: str) -> DataFrame:
     trials = scored(spark, sf_dir, "test_mic_type", decimals=9).withColumnRenamed("test_mic_type", "mic")
-    return _rounded(metrics.eer_exact(trials, "score", "target", "mic"))
+    return _rounded(metrics.eer_exact(trials, "score", "target", "mic", likely=_COSINES))
 
 
 _HIST_STEPS = {

@@ -1,9 +1,10 @@
 """What holds at sizes where pairs of clips cannot be kept, and where a corpus has many small files."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import blocks, features, trials
+from pairloom.operators import blocks, features, metrics, ranks, trials
 
 CLIPS = "clip_id long, speaker_id string, meeting_id string, mic_type string, duration_cs int"
 
@@ -34,3 +35,34 @@ def test_no_trial_is_shuffled_for_its_score(spark, sf_dir):
 
     plan = clips.scored(spark, sf_dir, "enroll_clip_id", "test_clip_id")._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Exchange") and "ArrowEvalPython" not in plan
+
+
+def test_narrowed_percentiles_are_exact_whatever_the_range(spark):
+    r = np.random.default_rng(9)
+    shares = [0.0, 0.0001, 0.25, 0.5, 0.9999, 1.0]
+    for x in (r.normal(size=3000), r.integers(0, 7, 2000).astype(float), np.r_[r.random(2000), 1e300, -1e300, np.inf, -np.inf]):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+        for likely in ((-1.0, 1.0), (-1e308, 1e308), (50.0, 51.0)):
+            assert ranks.narrowed(df, "x", shares[1:-1], *likely) == ranks.percentiles(df, "x", shares[1:-1])
+    assert ranks.narrowed(df.limit(0), "x", [0.5], -1.0, 1.0) == [None]
+
+
+@pytest.mark.parametrize("likely", [(-1.0, 1.0), (-40.0, 60.0), (7.0, 8.0)])
+def test_narrowed_error_rates_are_exact_whatever_the_range(spark, likely):
+    r = np.random.default_rng(3)
+    rows = [(g, float(x), bool(t)) for g in ("a", "b", None) for t in (0, 1) for x in np.round(r.normal(t * 0.4, 0.5, 300 + 200 * t), 2)]
+    rows += [("one", 0.1, True), ("apart", 0.9, True), ("apart", -0.9, False), ("wrong", -0.9, True), ("wrong", 0.9, False), ("a", float("nan"), True), ("a", 1e300, False)]
+    df = spark.createDataFrame(rows, "g string, s double, t boolean")
+    for frame, keys in ((df, ["g"]), (df.where("g = 'a'"), []), (df.where("g = 'one'"), [])):
+        assert _rows(metrics.eer_exact(frame.where("g is not null") if keys else frame, "s", "t", *keys, likely=likely)) == _rows(metrics.eer_exact(frame.where("g is not null") if keys else frame, "s", "t", *keys))
+
+
+def test_error_rates_keep_no_trials(spark, sf_dir, monkeypatch):
+    from pairloom.plans import catalogue
+
+    kept = []
+    for module in (metrics, ranks, blocks):
+        monkeypatch.setattr(module, "written", lambda df, name, f=module.written: kept.append(out := f(df, name)) or out)
+    for name in ("eer_by_mic", "eer_exact_cosine"):
+        catalogue.QUERIES[name](spark, sf_dir).collect()
+    assert max(k.count() for k in kept) < 9_000 < 11_230  # the trials
