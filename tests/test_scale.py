@@ -63,6 +63,6 @@ def test_error_rates_keep_no_trials(spark, sf_dir, monkeypatch):
     kept = []
     for module in (metrics, ranks, blocks):
         monkeypatch.setattr(module, "written", lambda df, name, f=module.written: kept.append(out := f(df, name)) or out)
-    for name in ("eer_by_mic", "eer_exact_cosine"):
+    for name in ("eer_by_mic", "eer_exact_cosine", "eer_hist"):
         catalogue.QUERIES[name](spark, sf_dir).collect()
     assert max(k.count() for k in kept) < 9_000 < 11_230  # the trials
