@@ -7,15 +7,17 @@ import io
 import json
 import struct
 import tarfile
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binning, durations, names, text, vectors
 from ..operators import batching, encode, features, histograms, parity, profile, sampling, split, trials
 from ..sources import files, tables
-from ..storage import put, scratch, written
+from ..storage import n_partitions, put, put_files, scratch, written
 from ..streaming import incremental
 from .clips import clips, positives, sides, table, with_
 from .registry import query
@@ -51,18 +53,26 @@ def _corpus(spark: SparkSession, sf_dir: str) -> str:
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _corpora:
         root = scratch(spark, "corpus")
-        for r in _audio(spark, sf_dir).toLocalIterator():
-            base = f"{root}/audio{r['path'].removesuffix('.wav')}"
-            if r["has_wav"]:
-                put(spark, base + ".wav", b"RIFF" if r["broken"] else _wav(r["embedding"], r["rate"], r["channels"], r["bits"]))
-            if r["has_txt"]:
-                put(spark, base + ".txt", r["said"].encode())
+        held = _audio(spark, sf_dir).repartition(n_partitions(spark))
+        put_files(held.mapInPandas(_corpus_files, "path string, content binary"), root)
         _corpora[at] = root
     return _corpora[at]
 
 
+def _corpus_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for r in batch.to_dict("records"):
+            base = f"audio{r['path'].removesuffix('.wav')}"
+            if r["has_wav"]:
+                out.append((base + ".wav", b"RIFF" if r["broken"] else _wav(r["embedding"], r["rate"], r["channels"], r["bits"])))
+            if r["has_txt"]:
+                out.append((base + ".txt", r["said"].encode()))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
 def _wavs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(_corpus(spark, sf_dir))
+    return files.read_files(spark, _corpus(spark, sf_dir), "*.wav")
 
 
 _SIZE = "CASE WHEN broken THEN 4 ELSE 44 + len(embedding) * channels * bits // 8 END"

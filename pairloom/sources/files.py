@@ -15,12 +15,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, text
+from ..storage import n_partitions
+
+
+def read_files(spark: SparkSession, root: str, glob: str = "*.wav", columns: tuple[str, ...] = ("path", "length", "content")) -> DataFrame:
+    """All files below root.
+
+    Spark counts 4 MB for opening a file, so that a task gets a few files however small they are, and a
+    corpus of small files many thousands of tasks. These are put together here: as many as the session
+    has shuffle partitions, or as the bytes of the files need."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select(*columns)
+    n_bytes = int(str(files._jdf.queryExecution().analyzed().collectLeaves().head().stats().sizeInBytes()))
+    return files.coalesce(max(n_partitions(spark), -(-n_bytes // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())))
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*.wav") -> DataFrame:
     """path and length of all files below root; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return files.select("path", "length")
+    return read_files(spark, root, glob, ("path", "length"))
 
 
 def corpus_root(spark: SparkSession, given: str) -> str:
@@ -44,8 +55,7 @@ def manifest(spark: SparkSession, root: str, limit: int | None = None, texts: bo
         paired = paired.orderBy(*PLACE).limit(limit)
     out = decode_manifest(paired)
     if texts:
-        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,TXT}").load(root)
-        said = place_files(read.select("path", "length", "content")).select(*PLACE, text.text_stats(F.trim(F.col("content").cast("string"))).alias("t"))
+        said = place_files(read_files(spark, root, "*.{txt,TXT}")).select(*PLACE, text.text_stats(F.trim(F.col("content").cast("string"))).alias("t"))
         out = out.join(said.select(*PLACE, "t.*"), PLACE, "left")
     return out
 

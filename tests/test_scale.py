@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom import storage
 from pairloom.operators import blocks, features, metrics, ranks, trials
+from pairloom.sources import files
 
 CLIPS = "clip_id long, speaker_id string, meeting_id string, mic_type string, duration_cs int"
 
@@ -66,3 +68,30 @@ def test_error_rates_keep_no_trials(spark, sf_dir, monkeypatch):
     for name in ("eer_by_mic", "eer_exact_cosine", "eer_hist"):
         catalogue.QUERIES[name](spark, sf_dir).collect()
     assert max(k.count() for k in kept) < 9_000 < 11_230  # the trials
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    n = 600
+    rows = spark.range(n).select(F.format_string("a/b%d/f%d.wav", F.col("id") % 3, "id").alias("path"), F.col("id").cast("string").cast("binary").alias("content"))
+    storage.put_files(rows, f"file://{tmp_path}")
+    storage.put_files(rows, f"file://{tmp_path}")  # a second go replaces
+    assert files.list_files(spark, str(tmp_path)).rdd.getNumPartitions() <= storage.n_partitions(spark)
+    found = files.read_files(spark, str(tmp_path)).collect()
+    assert sorted(int(r["content"]) for r in found) == list(range(n)) and all(f"f{int(r['content'])}.wav" in r["path"] for r in found)
+    assert {p.suffix for p in tmp_path.rglob("*") if p.is_file()} == {".wav"}
+
+
+def test_files_elsewhere_are_put_by_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "is_local", lambda *_: False)
+    rows = spark.range(600).select(F.format_string("a/f%d.txt", "id").alias("path"), F.col("id").cast("string").cast("binary").alias("content"))
+    storage.put_files(rows, f"file://{tmp_path}")
+    assert {p.name: p.read_text() for p in (tmp_path / "a").glob("*.txt")} == {f"f{i}.txt": str(i) for i in range(600)}
+
+
+def test_the_driver_writes_no_file_of_a_corpus(spark, sf_dir, monkeypatch):
+    from pairloom.plans import stored
+
+    monkeypatch.setattr(stored, "_corpora", {})
+    monkeypatch.setattr(stored, "put", None)
+    assert stored.corpus_manifest(spark, sf_dir).count() == 500
+    assert stored.corpus_listing(spark, sf_dir).rdd.getNumPartitions() <= storage.n_partitions(spark)
