@@ -3,10 +3,8 @@ back with the library's reader, and returns the rows; and operators that need no
 
 from __future__ import annotations
 
-import io
 import json
 import struct
-import tarfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,14 +154,8 @@ def wav_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_("clips", a=_AUDIO) + f"SELECT {_NAME} || '.wav' AS member, CAST({_SIZE} AS INT) AS size FROM a WHERE has_wav")
 def tar_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = io.BytesIO()
-    with tarfile.open(fileobj=held, mode="w:gz") as tar:
-        for r in _wavs(spark, sf_dir).select("path", "content").toLocalIterator():
-            member = tarfile.TarInfo(r["path"].rpartition("/")[2])
-            member.size = len(r["content"])
-            tar.addfile(member, io.BytesIO(r["content"]))
-    path = f"{scratch(spark, 'tar')}/wavs.tar.gz"
-    put(spark, path, held.getvalue())
+    path = scratch(spark, "tar")
+    files.write_tars(_wavs(spark, sf_dir), path)
     return files.read_tar(spark, path).select("member", F.length("content").alias("size"))
 
 

@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, text
-from ..storage import n_partitions
+from ..storage import is_local, n_partitions, put_files
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*.wav", columns: tuple[str, ...] = ("path", "length", "content")) -> DataFrame:
@@ -98,27 +99,65 @@ def decode_manifest(rows: DataFrame) -> DataFrame:
     })
 
 
+#: Bytes of members that an archive takes, and that are handed on together; and their number.
+TAR_BYTES, HANDED_BYTES, HANDED = 32 << 20, 8 << 20, 1000
+
+
+def write_tars(files: DataFrame, folder: str) -> None:
+    """files (path and content) as members, named as the files are, of compressed archives in a folder:
+    each task writes its own, of TAR_BYTES and one member more at most."""
+
+    def archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, k, held, tar = TaskContext.get().partitionId(), 0, None, None
+
+        def done() -> pd.DataFrame:
+            tar.close()
+            return pd.DataFrame({"path": [f"{own:06d}-{k:06d}.tar.gz"], "content": [held.getvalue()]})
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                if tar is None:
+                    held = io.BytesIO()
+                    tar = tarfile.open(fileobj=held, mode="w:gz")
+                member = tarfile.TarInfo(path.rpartition("/")[2])
+                member.size = len(content)
+                tar.addfile(member, io.BytesIO(content))
+                if tar.offset >= TAR_BYTES:
+                    yield done()
+                    k, tar = k + 1, None
+        if tar is not None:
+            yield done()
+
+    put_files(files.select("path", "content").mapInPandas(archives, "path string, content binary"), folder)
+
+
 def read_tar(spark: SparkSession, path: str) -> DataFrame:
-    """archive, member and content of the regular files in tar archives (plain or compressed), one task
-    an archive at most.
+    """archive, member and content of the regular files in tar archives (plain or compressed; a file or
+    a folder of them), one task an archive at most.
 
-    Archives are read as a stream through Spark's file system, a member at a time, so an archive may be
-    larger than memory; a member must fit in one cell."""
-    conf = spark._jsc.hadoopConfiguration()
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    local = at.getFileSystem(conf).getScheme() == "file"
+    Archives are read as a stream through Spark's file system, some members at a time, so an archive may
+    be larger than memory; a member must fit in one cell."""
+    local = is_local(spark, path)
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k, archive in enumerate(batch["path"]):
                 source = open(urllib.parse.unquote(archive.removeprefix("file:")), "rb") if local else io.BytesIO(batch["content"][k])
+                found, size = [], 0
                 with source, tarfile.open(fileobj=source, mode="r|*") as tar:
                     for m in tar:
                         if m.isfile():
-                            yield pd.DataFrame({"archive": [archive], "member": [m.name], "content": [tar.extractfile(m).read()]})
+                            found.append((archive, m.name, tar.extractfile(m).read()))
+                            size += m.size
+                        tar.members.clear()  # a stream never goes back, and would keep all headers
+                        if size >= HANDED_BYTES or len(found) >= HANDED:
+                            yield pd.DataFrame(found, columns=["archive", "member", "content"])
+                            found, size = [], 0
+                if found:
+                    yield pd.DataFrame(found, columns=["archive", "member", "content"])
 
     files = spark.read.format("binaryFile").load(path)
-    rows = files.select("path").repartition("path") if local else files.select("path", "content")
+    rows = files.select("path").repartition(n_partitions(spark), "path") if local else files.select("path", "content")
     return rows.mapInPandas(members, "archive string, member string, content binary")
 
 

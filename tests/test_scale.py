@@ -95,3 +95,15 @@ def test_the_driver_writes_no_file_of_a_corpus(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(stored, "put", None)
     assert stored.corpus_manifest(spark, sf_dir).count() == 500
     assert stored.corpus_listing(spark, sf_dir).rdd.getNumPartitions() <= storage.n_partitions(spark)
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_archives_of_bounded_size_have_all_members(spark, tmp_path, monkeypatch, local):
+    for name, most in (("TAR_BYTES", 20_000), ("HANDED_BYTES", 3_000), ("HANDED", 7)):
+        monkeypatch.setattr(files, name, most)
+    for module in (files, storage):
+        monkeypatch.setattr(module, "is_local", lambda *_: local)
+    rows = spark.range(200).select(F.format_string("x/f%d.wav", "id").alias("path"), F.repeat(F.lit("ab"), F.col("id").cast("int")).cast("binary").alias("content"))
+    files.write_tars(rows.repartition(3), f"file://{tmp_path}/tars")
+    assert len(list((tmp_path / "tars").glob("*.tar.gz"))) > 6
+    assert _rows(files.read_tar(spark, str(tmp_path / "tars")).select("member", F.length("content"))) == sorted(((f"f{i}.wav", 2 * i) for i in range(200)), key=str)
