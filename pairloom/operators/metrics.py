@@ -145,9 +145,11 @@ def eer_histogram(hist: DataFrame, bounds: DataFrame, keys: list[str], bins: int
 
     The walk starts before the first bin, where nothing is rejected; empty bins change nothing, so only
     bins with trials are walked (at most `bins` rows a group). Groups with fewer than at_least trials of
-    either kind have null rates."""
+    either kind have null rates. The histogram is written first, as it is read twice and its trials must
+    not be."""
+    hist = written(hist.select(*keys, "bin", "hp", "hn"), "histogram")
     start = hist.select(*keys).distinct().select(*keys, F.lit(-1).alias("bin"), F.lit(0).cast("long").alias("hp"), F.lit(0).cast("long").alias("hn"))
-    rows = hist.select(*keys, "bin", "hp", "hn").unionByName(start)
+    rows = hist.unionByName(start)
     w, whole = _cumulative(keys, "bin"), Window.partitionBy(*keys)
     walked = rows.withColumns({"cp": F.sum("hp").over(w), "cn": F.sum("hn").over(w), "p": F.sum("hp").over(whole), "n": F.sum("hn").over(whole)})
     frr, far = F.col("cp") / F.col("p"), 1 - F.col("cn") / F.col("n")

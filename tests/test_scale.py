@@ -107,3 +107,17 @@ def test_archives_of_bounded_size_have_all_members(spark, tmp_path, monkeypatch,
     files.write_tars(rows.repartition(3), f"file://{tmp_path}/tars")
     assert len(list((tmp_path / "tars").glob("*.tar.gz"))) > 6
     assert _rows(files.read_tar(spark, str(tmp_path / "tars")).select("member", F.length("content"))) == sorted(((f"f{i}.wav", 2 * i) for i in range(200)), key=str)
+
+
+def test_trials_are_read_once_for_their_histogram(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    r = np.random.default_rng(1)
+    rows = spark.createDataFrame([(float(x), bool(i % 2), "ihm" if i % 3 else "sdm") for i, x in enumerate(r.normal(size=900))], "score double, target boolean, mic string")
+    bounds = spark.createDataFrame([(-2.0, 2.0)], "lo double, hi double")
+    assert metrics.eer_overall(rows.mapInPandas(seen, rows.schema), "score", "target", bounds).count() == 3 and read.value == 900
