@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .common import binary, fresh, quoted
+from .common import binary, fresh, giving_back, quoted
 from .shingling import shingle_hashes, shingles, word_hashes, words
 
 #: Bits of a filter for each shingle of its class, and of the largest filter (16 MB).
@@ -124,7 +124,7 @@ def _hits(docs: DataFrame, classes: list[Filter], key: str, text: str) -> DataFr
             yield _batch(out, key_type)
 
     rows = docs.select(quoted(key).alias("key"), quoted(text).alias("text"))
-    return rows.mapInArrow(find, f"key {dict(rows.dtypes)['key']}, digest binary, k int, size_class int, shingle binary")
+    return rows.mapInArrow(giving_back(find), f"key {dict(rows.dtypes)['key']}, digest binary, k int, size_class int, shingle binary")
 
 
 def _batch(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary
+from .common import binary, giving_back
 
 PASSAGE_WORDS = 64
 SAMPLE = 2000
@@ -225,4 +225,4 @@ def keep_good(docs: DataFrame, model: AttentionModel | None, at_least: float = 0
                 found += [True] * len(counts) if model is None else (model.scores(x, counts) >= at_least).tolist()
             yield batch.filter(pa.array(found, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .common import binary, fresh, n_partitions, quoted, rounds, short
+from .common import binary, fresh, giving_back, n_partitions, quoted, rounds, short
 from .components import components
 from .shingling import shingles, words
 from .vptree import Union, links
@@ -105,7 +105,7 @@ def frequent_shingles(docs: DataFrame, k: int = 5, text: str = "text") -> np.nda
             for body in binary(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_digests(words(body or b""), k)).view(np.int64))], ["h"])
 
-    some = docs.sample(min(1.0, LOOKED_AT / n), seed=SEED).select(quoted(text)).mapInArrow(run, "h long")
+    some = docs.sample(min(1.0, LOOKED_AT / n), seed=SEED).select(quoted(text)).mapInArrow(giving_back(run), "h long")
     found = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(4, int(LOOKED_AT * FREQUENT_SHARE))).orderBy(F.desc("n"), "h").limit(FREQUENT)
     return np.sort(np.array([r["h"] for r in found.collect()], np.int64).view(np.uint64))
 
@@ -141,7 +141,7 @@ def describe(docs: DataFrame, k: int = 5, similarity: float = 0.8, last: np.ndar
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tid, pa.string()), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(fps, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["key", "tid", "size", "print", "fp", "prefix"])
 
     rows = docs.select(quoted(key).alias("key"), quoted(text).alias("text"))
-    return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, tid string, size long, print binary, fp long, prefix array<long>")
+    return rows.mapInArrow(giving_back(run), f"key {dict(rows.dtypes)['key']}, tid string, size long, print binary, fp long, prefix array<long>")
 
 
 def _candidates(prints: np.ndarray, size: np.ndarray, similarity: float, r: int, rows: int, c: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +258,7 @@ def _shingles(texts: DataFrame, k: int) -> DataFrame:
             found = [np.unique(shingle_digests(words(body or b""), k)).tobytes() for body in binary(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "size", "print", "groups")], pa.array(found, pa.binary())], ["id", "size", "print", "groups", "shingles"])
 
-    found = texts.select("id", "size", "print", "groups", "text").mapInArrow(run, "id long, size long, print binary, groups array<long>, shingles binary")
+    found = texts.select("id", "size", "print", "groups", "text").mapInArrow(giving_back(run), "id long, size long, print binary, groups array<long>, shingles binary")
     return found.select(F.explode("groups").alias("group"), "id", "size", "print", "shingles")
 
 
@@ -284,12 +284,12 @@ def near_duplicate_texts(texts: DataFrame, bodies: DataFrame, k: int = 5, simila
         return rows.repartition(n_partitions(spark), "group").sortWithinPartitions("group")
 
     members = _in_groups(keyed, "by").join(texts.select("id", "size", "print"), "id").select("group", "id", "size", "print")
-    near = components(grouped(members).mapInArrow(_compare(similarity), "a long, b long"))
+    near = components(grouped(members).mapInArrow(giving_back(_compare(similarity)), "a long, b long"))
     near = written(near.join(texts, near["node"] == texts["id"]).select("id", "tid", "key", "size", "print", "root"), "candidates")
     groups = _in_groups(near.select("id", "size", "root"), "root", "size").groupBy("id").agg(F.collect_list("group").alias("groups"))
     near = near.join(groups, "id").withColumnsRenamed({"tid": "__tid", "key": "__key"})
     wanted = bodies.join(near, (F.col("tid") == F.col("__tid")) & F.col("key").eqNullSafe(F.col("__key")))
-    return components(grouped(_shingles(wanted, k)).mapInArrow(_confirm(similarity), "a long, b long"))
+    return components(grouped(_shingles(wanted, k)).mapInArrow(giving_back(_confirm(similarity)), "a long, b long"))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
